@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import column_or_null, materialize
 from pagewright.llm.decontam import decontaminate
+from pagewright.llm.langid import UNKNOWN, fit, identify
 from pagewright.llm.line_dedup import dedup_lines
 from pagewright.llm.mixing import mix
+from pagewright.llm.neardup import near_duplicates
 
 
 def as_documents(df: DataFrame) -> DataFrame:
@@ -23,6 +25,16 @@ def columns(docs: DataFrame) -> DataFrame:
 
 CARRY = ("lang", "source")
 
+#: A document whose best language has a smaller mean share over its words is rejected.
+MIN_LANGUAGE_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters, and those in which no language stands out; lang is left as it came."""
+    docs = columns(docs)
+    out = identify(docs, fit(docs), carry=CARRY)
+    return as_documents(out.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)))
+
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that three documents or more hold, but in one of them. A document that loses all its lines goes."""
@@ -30,6 +42,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return as_documents(out)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least doc_id of each class of near duplicates; of rows that share doc_id, one."""
+    docs = columns(docs)
+    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["doc_id"])
+    return as_documents(out.select("doc_id", "text", F.struct(*CARRY).alias("carried")))
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     out = decontaminate(columns(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=CARRY)
@@ -41,7 +61,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(columns(docs)).drop("carried")
 
 
-STAGES = [("line_dedup", line_dedup), ("decontamination", decontamination), ("mixing", mixing)]
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]
 
 #: SQL can't express language ID, near-dedup and the seeded choice of the mix.
 ORACLE_SQL = None
