@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagewright.queries import products
+from pagewright.queries import geometry, matching, products, texts
 
-MODULES = (products,)
+MODULES = (products, texts, geometry, matching)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
