@@ -18,10 +18,12 @@ from pagewright.llm.substrings import ODD, Hashes
 K, SKETCHES, ORDERED = 5, 16, 3
 #: Two texts are compared in full if they share so many sketches. Members of a bucket that are compared with each other at once;
 #: larger buckets are split by their members' other sketches first.
-SHARED, AT_ONCE = 2, 2048
+SHARED, AT_ONCE = 3, 2048
 #: Candidates that a member has in a bucket in the first round, and how many times more in each round after.
-FIRST, MORE = 2, 4
+FIRST, MORE = 2, 8
 CHUNK = 4 << 20
+#: At most so many labels or ids of texts are sent to all executors; more are shuffled.
+BROADCAST_LINKS = 400_000
 
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -140,42 +142,69 @@ PAIRS = "kind int, a long, b long, bucket long, n int, marks binary"
 def _pairs(turn: int, least: float):
     """Candidates inside buckets: kind 0 rows are pairs (a, b); kind 1 rows are members (a) of buckets that have more pairs.
 
-    Each member gets, among the members before it that share SHARED sketches, fit by length and are of another class, those ranked by
-    shared sketches in [lo, hi) of this round; over the rounds every such pair has its turn.
+    Each member has as candidates the members before it that share SHARED sketches and fit by length, ranked by shared sketches.
+    A round takes those ranked in [lo, hi) that are still of another class; the ranks don't change from round to round, so every
+    candidate has its turn. A member of a bucket takes 52 bytes.
     """
     lo = 0 if turn == 0 else FIRST * MORE ** (turn - 1)
     hi = FIRST * MORE**turn
 
     def run(batches):
         for (bucket,), rows in by_group(batches, "bucket"):
-            rows = list(rows)
-            kept, pairs, more = [], [], False
-            for start in range(0, len(rows), AT_ONCE):
-                block = rows[start : start + AT_ONCE]
-                held = kept + block
-                marks = np.frombuffer(b"".join(r["marks"] for r in held), np.uint16).reshape(-1, SKETCHES)
-                n = np.array([r["n"] for r in held])
-                node = np.array([r["node"] for r in held])
-                label = np.array([r["label"] for r in held])
+            node, n, marks, label = members_of(rows)
+            kept, pairs, more = np.zeros(0, np.int64), [], False
+            for start in range(0, len(node), AT_ONCE):
+                held = np.concatenate([kept, np.arange(start, min(start + AT_ONCE, len(node)))])
+                m, size = marks[held], n[held]
                 for i in range(len(kept), len(held)):
-                    shared = (marks[:i] == marks[i]).sum(axis=1)
-                    fit = (shared >= SHARED) & (np.minimum(n[:i], n[i]) >= least * np.maximum(n[:i], n[i])) & (label[:i] != label[i]) & (node[:i] != node[i])
-                    at = np.flatnonzero(fit)
+                    shared = (m[:i] == m[i]).sum(axis=1)
+                    at = np.flatnonzero((shared >= SHARED) & (np.minimum(size[:i], size[i]) >= least * np.maximum(size[:i], size[i])) & (node[held[:i]] != node[held[i]]))
                     if len(at) > lo:
-                        at = at[np.lexsort((at, -shared[at]))]
-                        pairs += [(int(node[j]), int(node[i])) for j in at[lo:hi]]
-                        more |= len(at) > hi
+                        at = held[at[np.lexsort((at, -shared[at]))]]
+                        other = label[at] != label[held[i]]
+                        pairs += [(int(node[j]), int(node[held[i]])) for j in at[lo:hi][other[lo:hi]]]
+                        more |= bool(other[hi:].any())
                 # A later block is compared with the first of this one's members for each set of marks.
-                if start + AT_ONCE < len(rows):
-                    first = {m.tobytes(): r for m, r in zip(marks[::-1], held[::-1], strict=True)}
-                    kept = sorted(first.values(), key=lambda r: r["node"])
-            out = [(0, a, b, bucket, 0, None) for a, b in pairs] + [(1, r["node"], 0, bucket, r["n"], r["marks"]) for r in rows if more]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["kind", "a", "b", "bucket", "n", "marks"])
+                if start + AT_ONCE < len(node):
+                    kept = held[np.sort(np.unique(m, axis=0, return_index=True)[1])]
+            yield from pair_rows(bucket, pairs, (node, n, marks) if more else None)
 
     return run
 
 
+def members_of(rows):
+    """Arrays of node, n, marks and label of a bucket's rows."""
+    parts, held = [], []
+
+    def close():
+        parts.append((np.array([r["node"] for r in held], np.int64), np.array([r["n"] for r in held], np.int32), np.frombuffer(b"".join(r["marks"] for r in held), np.uint16).reshape(-1, SKETCHES), np.array([r["label"] for r in held], np.int64)))
+        held.clear()
+
+    for r in rows:
+        held.append(r)
+        if len(held) == AT_ONCE:
+            close()
+    if held:
+        close()
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(4))
+
+
+def pair_rows(bucket: int, pairs: list[tuple[int, int]], members):
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    names = ["kind", "a", "b", "bucket", "n", "marks"]
+    if pairs:
+        a, b = zip(*pairs, strict=True)
+        columns = ([0] * len(a), a, b, [bucket] * len(a), [0] * len(a), [None] * len(a))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+    if members is not None:
+        node, n, marks = members
+        for start in range(0, len(node), AT_ONCE):
+            own = slice(start, start + AT_ONCE)
+            k = len(node[own])
+            columns = ([1] * k, node[own], [0] * k, [bucket] * k, n[own], [x.tobytes() for x in marks[own]])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+
 def _verify(least: float):
     def run(batches):
         memo: Hashes = Hashes()
@@ -200,20 +229,31 @@ def _verify(least: float):
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node, label: the smallest node that links (a, b) reach; only nodes with links. Rounds of least neighbour and shortcut, each a
-    table in the shared folder, until nothing changes."""
-    both = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "links")
+    table in the shared folder, until nothing changes. known: labels from other links, which stay joined; then links are first
+    drawn between their labels, so a round moves only what is new."""
+    own = links.select("a", "b")
+    if known is not None:
+        own = own.join(known.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+        own = own.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b")
+    both = materialize(own.select(F.col("a").alias("u"), F.col("b").alias("v")).union(own.select("b", "a")).distinct(), "links")
     labels = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).select(F.col("u").alias("node"), "label"), "labels")
+    small = F.broadcast if both.count() <= BROADCAST_LINKS else (lambda df: df)
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("to"))
+        near = both.join(small(labels.select(F.col("node").alias("v"), "label")), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        step = near.join(small(labels), "node").select("node", "label", F.least("label", "near").alias("to"))
         # The label's own least label, a shortcut.
-        ahead = labels.select(F.col("node").alias("to"), F.col("label").alias("ahead"))
+        ahead = small(labels.select(F.col("node").alias("to"), F.col("label").alias("ahead")))
         new = materialize(step.join(ahead, "to", "left").select("node", F.least("to", F.coalesce("ahead", "to")).alias("label"), (F.least("to", F.coalesce("ahead", "to")) != F.col("label")).alias("changed")), "labels")
         labels = new.select("node", "label")
         if not new.filter("changed").limit(1).count():
-            return labels
+            break
+    if known is None:
+        return labels
+    moved = labels.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = known.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return materialize(old.unionByName(labels.join(known.select("node"), "node", "left_anti")), "labels")
 
 
 def near_duplicates(docs: DataFrame, *, least: float = 0.8) -> DataFrame:
@@ -252,7 +292,7 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.8) -> DataFrame:
         if pairs.limit(1).count():
             new = materialize(aligned(docs, pairs, least), f"links{turn}")
             links = new if links is None else links.unionByName(new)
-            labels = components(links.filter("similarity > 0"))
+            labels = components(new.filter("similarity > 0"), labels)
         rest = found.filter("kind = 1")
         if links is None or not rest.limit(1).count():
             break
@@ -272,7 +312,9 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.8) -> DataFrame:
 
 def aligned(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """a, b, similarity (0 if under least) for pairs of documents; only their texts are moved."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+    if nodes.count() <= BROADCAST_LINKS:
+        nodes = F.broadcast(nodes)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(nodes, "node", "left_semi")
     texts = materialize(texts, "pair_texts")
     one, two = texts.select(F.col("node").alias("a"), F.col("text").alias("one")), texts.select(F.col("node").alias("b"), F.col("text").alias("two"))
