@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagewright.queries import geometry, matching, operations, planning, products, texts
+from pagewright.queries import enriching, geometry, matching, operations, pages, planning, products, texts
 
-MODULES = (products, texts, geometry, matching, operations, planning)
+MODULES = (products, texts, geometry, matching, operations, planning, pages, enriching)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
