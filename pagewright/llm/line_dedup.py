@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm.common import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Stands for a null doc_id, below all others.
@@ -37,8 +39,10 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3, carr
         .select("did", "tid", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"))
     )
     shared = long_lines.groupBy("h1", "h2").agg(F.count_distinct("did").alias("n_docs"), F.max("did").alias("keeper")).filter(F.col("n_docs") >= min_docs)
+    # As a table it comes to the join through an exchange of its own, without which Spark can't split a hot line's partition.
+    shared = materialize(shared.select("h1", "h2", "keeper"), "shared_lines")
     dropped = (
-        long_lines.join(shared.select("h1", "h2", "keeper"), ["h1", "h2"])
+        long_lines.join(shared, ["h1", "h2"])
         .filter(F.col("did") != F.col("keeper"))
         .groupBy("did", "tid")
         .agg(F.sort_array(F.collect_set("pos")).alias("gone"))

@@ -229,29 +229,37 @@ def _verify(least: float):
     return run
 
 
+def sized(df: DataFrame, rows: int, per: int = 100_000) -> DataFrame:
+    """The frame in as many partitions as a counted number of rows needs, where that is fewer than a shuffle makes."""
+    return df.coalesce(max(6, rows // per)) if rows < 64 * per else df
+
+
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node, label: the smallest node that links (a, b) reach; only nodes with links. Rounds of least neighbour and shortcut, each a
     table in the shared folder, until nothing changes. known: labels from other links, which stay joined; then links are first
     drawn between their labels, so a round moves only what is new."""
+    n = links.count()
+    small = F.broadcast if n <= BROADCAST_LINKS else (lambda df: df)
     own = links.select("a", "b")
     if known is not None:
         own = own.join(known.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
         own = own.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b")
-    both = materialize(own.select(F.col("a").alias("u"), F.col("b").alias("v")).union(own.select("b", "a")).distinct(), "links")
-    labels = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).select(F.col("u").alias("node"), "label"), "labels")
-    small = F.broadcast if both.count() <= BROADCAST_LINKS else (lambda df: df)
+    both = materialize(sized(own.select(F.col("a").alias("u"), F.col("b").alias("v")).union(own.select("b", "a")).distinct(), n), "links")
+    labels = materialize(sized(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).select(F.col("u").alias("node"), "label"), n), "labels")
     while True:
         near = both.join(small(labels.select(F.col("node").alias("v"), "label")), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         step = near.join(small(labels), "node").select("node", "label", F.least("label", "near").alias("to"))
-        # The label's own least label, a shortcut.
-        ahead = small(labels.select(F.col("node").alias("to"), F.col("label").alias("ahead")))
-        new = materialize(step.join(ahead, "to", "left").select("node", F.least("to", F.coalesce("ahead", "to")).alias("label"), (F.least("to", F.coalesce("ahead", "to")) != F.col("label")).alias("changed")), "labels")
+        # The label's own least label, twice: shortcuts.
+        for _ in range(2):
+            ahead = small(labels.select(F.col("node").alias("to"), F.col("label").alias("ahead")))
+            step = step.join(ahead, "to", "left").select("node", "label", F.least("to", F.coalesce("ahead", "to")).alias("to"))
+        new = materialize(sized(step.select("node", F.col("to").alias("label"), (F.col("to") != F.col("label")).alias("changed")), n), "labels")
         labels = new.select("node", "label")
         if not new.filter("changed").limit(1).count():
             break
     if known is None:
         return labels
-    moved = labels.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    moved = small(labels.select(F.col("node").alias("label"), F.col("label").alias("to")))
     old = known.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
     return materialize(old.unionByName(labels.join(known.select("node"), "node", "left_anti")), "labels")
 
@@ -283,25 +291,31 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.8) -> DataFrame:
         members = members.join(hot, "bucket", "left_anti").unionByName(big)
     several = members.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("size > 1").drop("size").withColumn("label", F.col("node"))
     links, labels, turn = None, None, 0
+    found = several.sortWithinPartitions("bucket", "node").mapInArrow(_pairs(turn, least), PAIRS)
     while True:
-        found = materialize(several.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_pairs(turn, least), PAIRS) if turn else several.sortWithinPartitions("bucket", "node").mapInArrow(_pairs(turn, least), PAIRS), f"pairs{turn}", ("kind",))
-        pairs = found.filter("kind = 0").select("a", "b").distinct()
-        if turn:
-            pairs = pairs.join(links.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = materialize(pairs, f"new{turn}")
-        if pairs.limit(1).count():
-            new = materialize(aligned(docs, pairs, least), f"links{turn}")
+        found = materialize(found, f"pairs{turn}", ("kind",))
+        n = found.filter("kind = 0").count()
+        if n:
+            pairs = found.filter("kind = 0").select("a", "b").distinct()
+            if turn:
+                done = links.select("a", "b")
+                pairs = pairs.join(F.broadcast(done) if done.count() <= BROADCAST_LINKS else done, ["a", "b"], "left_anti")
+            new = materialize(aligned(docs, materialize(sized(pairs, n), f"new{turn}"), least), f"links{turn}")
             links = new if links is None else links.unionByName(new)
             labels = components(new.filter("similarity > 0"), labels)
         rest = found.filter("kind = 1")
-        if links is None or not rest.limit(1).count():
+        n = rest.count()
+        if links is None or not n:
             break
-        several = rest.select("bucket", F.col("a").alias("node"), "n", "marks").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        known = F.broadcast(labels) if labels.count() <= BROADCAST_LINKS else labels
+        several = rest.select("bucket", F.col("a").alias("node"), "n", "marks").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
         turn += 1
+        found = several.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_pairs(turn, least), PAIRS)
+        found = sized(found, n, 2000)
     if links is None:
         known = texts.select("key", F.col("node").alias("class"), F.lit(0).cast("long").alias("n_links"))
     else:
-        true = links.filter("similarity > 0")
+        true = links.filter("similarity > 0").select("a", "b").distinct()  # a doc_id with several texts may be linked twice
         degree = true.select(F.col("a").alias("node")).union(true.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
         known = texts.join(labels, "node", "left").join(degree, "node", "left").select("key", F.coalesce("label", "node").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     known = materialize(known, "classes")
@@ -312,15 +326,15 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.8) -> DataFrame:
 
 def aligned(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """a, b, similarity (0 if under least) for pairs of documents; only their texts are moved."""
-    nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
-    if nodes.count() <= BROADCAST_LINKS:
-        nodes = F.broadcast(nodes)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(nodes, "node", "left_semi")
+    n = pairs.count()
+    few = F.broadcast if n <= BROADCAST_LINKS // 2 else (lambda df: df)
+    nodes = materialize(sized(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), 2 * n), "nodes")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(few(nodes), "node", "left_semi")
     texts = materialize(texts, "pair_texts")
     one, two = texts.select(F.col("node").alias("a"), F.col("text").alias("one")), texts.select(F.col("node").alias("b"), F.col("text").alias("two"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two")
+    both = one.join(few(pairs), "a").join(two, "b").select("a", "b", "one", "two")
     # A document whose rows have several texts is linked if one of them is.
-    return both.mapInArrow(_verify(least), "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return sized(both.mapInArrow(_verify(least), "a long, b long, similarity double"), n, 1000)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
