@@ -122,7 +122,7 @@ def train(rows: list[tuple[str, str]], *, rounds: int = 40, rate: float = 0.15,
     if not runs:
         return None
     random = np.random.default_rng(seed)
-    per, whole = SEQUENCE // RUN, []
+    per = SEQUENCE // RUN
     order = [r for _, r in sorted(zip(random.random(len(runs) // per + 1).repeat(per)[: len(runs)].tolist(), range(len(runs)), strict=True))]
     # Half of the sequences keep neighbouring runs of a document together, half mix runs of all documents.
     half = len(order) // 2 // per * per
@@ -131,7 +131,6 @@ def train(rows: list[tuple[str, str]], *, rounds: int = 40, rate: float = 0.15,
     number: dict[str, int] = {}
     ids = np.array([[number.setdefault(w, len(number)) for w in runs[r][1]] for r in order]).reshape(-1, SEQUENCE)
     truth = np.repeat([runs[r][0] for r in order], RUN).reshape(-1, SEQUENCE)
-    del whole
     words = list(number)
     features, count = Features(words), np.bincount(ids.ravel(), minlength=len(words))
     model = Model(labels, np.unique(features.whole[count >= 3]))

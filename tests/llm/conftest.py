@@ -1,9 +1,5 @@
-import random
-
 import pytest
-
-#: Rows that every operator has to take: nulls, empty and long texts, ties, repeated rows.
-ODD_TEXTS = [None, "", " \n\t", "word", "one two\nthree", "one two\nthree", "é" * 50, "x " * 3000, "l1\n" * 40]
+from samples import ODD_TEXTS
 
 
 @pytest.fixture(scope="session")
@@ -17,9 +13,3 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
-
-
-def prose(seed, n):
-    """n invented words."""
-    r = random.Random(seed)
-    return [r.choice("the on er an re ing ti st".split()) + r.choice("ab cd ef gh ij kl mn op".split()) + str(r.randint(0, 40)) for _ in range(n)]

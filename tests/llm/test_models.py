@@ -3,7 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-from conftest import prose
+from samples import prose
 
 from pagewright.llm import ann, langid, lm, neardup, warc
 

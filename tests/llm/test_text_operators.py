@@ -2,7 +2,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
-from conftest import ODD_TEXTS, prose
+from samples import ODD_TEXTS, prose
 
 from pagewright.llm import decontam, line_dedup, mixing, substrings
 
