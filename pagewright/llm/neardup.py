@@ -22,6 +22,8 @@ SHARED, AT_ONCE = 3, 2048
 #: Candidates that a member has in a bucket in the first round, and how many times more in each round after.
 FIRST, MORE = 2, 8
 CHUNK = 4 << 20
+#: k-mers of texts that a task keeps while it aligns pairs, as a text is in several.
+HELD_KMERS = 4_000_000
 #: At most so many labels or ids of texts are sent to all executors; more are shuffled.
 BROADCAST_LINKS = 400_000
 
@@ -79,17 +81,33 @@ def sketches(texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def prepared(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled k-mers sorted, and where each stands in the text."""
+    order = np.argsort(labels)
+    return labels[order], order
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """Ordered share of common k-mers: aligned / (all of both - aligned), by banded alignment of the labelled k-mers; 0 if under least.
+    """aligned_share() of two texts' labelled k-mers."""
+    return aligned_share(prepared(a), prepared(b), least)
+
+
+def aligned_share(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: float) -> float:
+    """Ordered share of common k-mers: aligned / (all of both - aligned), by banded alignment of prepared texts; 0 if under least.
 
     A labelled k-mer occurs once in a text, so the best alignment is the longest rising run of matched positions. With a
     similarity of `least`, at most (1 - least) / (1 + least) of all k-mers are unaligned, which bounds the band.
     """
-    n = len(a) + len(b)
+    n = len(a[0]) + len(b[0])
     band = n * (1 - least) / (1 + least) + 1e-9
-    if not n or abs(len(a) - len(b)) > band:
+    if not n or abs(len(a[0]) - len(b[0])) > band:
+        return 0.0
+    at = np.searchsorted(b[0], a[0])
+    at[at == len(b[0])] = 0
+    hit = b[0][at] == a[0]
+    if n - 2 * int(hit.sum()) > band:
         return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    i, j = a[1][hit], b[1][at[hit]]
     near = np.abs(i - j) <= band
     i, j = i[near], j[near]
     if n - 2 * len(i) > band:
@@ -208,22 +226,25 @@ def pair_rows(bucket: int, pairs: list[tuple[int, int]], members):
 def _verify(least: float):
     def run(batches):
         memo: Hashes = Hashes()
-        last: tuple | None = None
+        texts: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        held = 0
 
-        def own(text: bytes) -> np.ndarray:
-            h = kmers(text.translate(LOWER).split(), memo)
-            return labelled(h, np.zeros(len(h), np.int64))
+        def own(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal held
+            if (x := texts.get(text)) is None:
+                if len(memo) > 500_000:
+                    memo.clear()
+                if held > HELD_KMERS:
+                    texts.clear()
+                    held = 0
+                h = kmers(text.translate(LOWER).split(), memo)
+                x = texts[text] = prepared(labelled(h, np.zeros(len(h), np.int64)))
+                held += len(h) + len(text) // 16
+            return x
 
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             one, two = (c.cast(pa.binary()).to_pylist() for c in batch.columns[2:4])
-            got = []
-            for i in range(len(a)):
-                if len(memo) > 500_000:
-                    memo.clear()
-                if last is None or last[0] != one[i]:
-                    last = (one[i], own(one[i]))
-                got.append(similarity(last[1], own(two[i]), least))
+            got = [aligned_share(own(x), own(y), least) for x, y in zip(one, two, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], names=["a", "b", "similarity"])
 
     return run
