@@ -25,7 +25,7 @@ CHUNK = 4 << 20
 #: k-mers of texts that a task keeps while it aligns pairs, as a text is in several.
 HELD_KMERS = 4_000_000
 #: At most so many labels or ids of texts are sent to all executors; more are shuffled.
-BROADCAST_LINKS = 400_000
+BROADCAST_LINKS = 2_000_000
 
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
