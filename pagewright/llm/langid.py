@@ -127,7 +127,7 @@ def train(rows: list[tuple[str, str]], *, rounds: int = 40, rate: float = 0.15,
     # Half of the sequences keep neighbouring runs of a document together, half mix runs of all documents.
     half = len(order) // 2 // per * per
     order = order[:half] + random.permutation(order[half:]).tolist()
-    order += order[: -len(order) % per]
+    order += [order[i % len(order)] for i in range(-len(order) % per)]
     number: dict[str, int] = {}
     ids = np.array([[number.setdefault(w, len(number)) for w in runs[r][1]] for r in order]).reshape(-1, SEQUENCE)
     truth = np.repeat([runs[r][0] for r in order], RUN).reshape(-1, SEQUENCE)
