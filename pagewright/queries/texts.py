@@ -14,7 +14,11 @@ from pagewright.operators.ranking import best
 from pagewright.queries import sql
 from pagewright.queries.carriers import lines, table
 
-FIRST = F.split("text", "\n", -1)[0]
+
+def first_line():
+    return F.split("text", "\n", -1)[0]
+
+
 FIRST_SQL = "string_split(text, chr(10))[1]"
 
 
@@ -23,11 +27,11 @@ def q_strip_accents(spark, d):
 
 
 def q_normalize_section(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.normalize_section(FIRST).alias("section_key"))
+    return table(spark, d, "documents").select("doc_id", X.normalize_section(first_line()).alias("section_key"))
 
 
 def q_slugify(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.slugify(FIRST).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", X.slugify(first_line()).alias("slug"))
 
 
 HEADERS = ["538_Longueur", "100 Matiere", "DEB_PRESS", "dim", "Temp MAX", "Ref-fournisseur", "Nb bacs", "QTE", "Finition", "vol surf"]
@@ -155,7 +159,7 @@ def width_sql(x: str) -> str:
 
 
 def q_wrap_words(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.wrap_words(FIRST, 200.0, 9.0).alias("wrapped"))
+    return table(spark, d, "documents").select("doc_id", X.wrap_words(first_line(), 200.0, 9.0).alias("wrapped"))
 
 
 def q_safe_text(spark, d):
