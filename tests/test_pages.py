@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from pagewright.operators import enrichment, pages
+from pagewright.operators import enrichment, pages, profiles
 
 
 def test_names_merge_with_the_run_before(spark):
@@ -36,3 +36,10 @@ def test_replies(spark):
 def test_rules(spark):
     df = spark.createDataFrame([("7 m³/h", "{value} m3/h"), ("60", "{value} cm"), (" ", "{value} cm"), ("x", "fixed"), ("x", None)], "v string, r string")
     assert [r[0] for r in df.select(enrichment.apply_rule(F.col("v"), F.col("r"))).collect()] == ["7 m³/h", "60 cm", "", "fixed", "x"]
+
+
+def test_tabular_keys(spark):
+    lines = [(10.0, "Matiere", "inox"), (30.0, "Longueur", "60 cm"), (50.0, "Garantie", "2 ans"), (70.0, "Contents", "p. 12"), (90.0, "far", None), (110.0, "12,5", "x"), (130.0, "a : b", "c")]
+    rows = [(1, f"{i}-{k}", t, 20.0 + i % 2 + k * 150, y) for i, (y, *own) in enumerate(lines) for k, t in enumerate(own) if t]
+    got = profiles.tabular_keys(spark.createDataFrame(rows, "page long, ord string, text string, x0 double, y0 double"), 500.0).orderBy("y0").collect()
+    assert [r["text"] for r in got] == ["Matiere", "Longueur", "Garantie"]
