@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: A side up to this size is sent to all executors.
 BROADCAST_ROWS = 200_000
+#: Lengths of the pieces by which texts that contain one another meet.
+PIECES = (3, 5, 8, 16, 32)
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, tolerance: float, also: Column | None = None, how: str = "inner") -> DataFrame:
@@ -60,18 +62,18 @@ def match_tiers(products: DataFrame, assets: DataFrame, key: str, name: str, ass
 
     Tiers: equal, equal without accents, asset starts with the name, contains it, the name contains the asset (4 letters), the same
     for letters and digits only (3, and 4), the same without leading zeros on either side. The lowest tier counts, then the
-    asset's order. Equal names are matched by hash joins; only names without one are compared, by shared pieces of 3 letters: a
-    name that contains another has all its pieces, so the rarest piece of each is the join key.
+    asset's order. Equal names are matched by hash joins; only names without one are compared, by shared pieces: a text that
+    contains another has its beginning among its own pieces of that length, for the largest of PIECES that the other reaches.
+    Names of up to two letters are looked up among the pieces of assets, of which only the best asset is kept.
     """
     from pagewright.functions.text import match_key, strip_accents
 
     p = products.select(key, F.lower(name).alias("c")).withColumn("cs", strip_accents(F.col("c"))).withColumn("cn", match_key(F.col("c"))).withColumn("cz", F.regexp_replace("cn", "^0+", ""))
     a = assets.select(F.col(asset).alias("asset"), F.col(order).alias("ord"), F.lower(asset).alias("b")).withColumn("bn", match_key(F.col("b"))).withColumn("bz", F.regexp_replace("bn", "^0+", ""))
+    best = F.min(F.struct("tier", "ord", "asset")).alias("best")
     exact = p.join(a, F.col("c") == F.col("b")).withColumn("tier", F.lit(1)).unionByName(p.join(a, F.col("cs") == F.col("b")).withColumn("tier", F.lit(2)))
-    first = Window.partitionBy(key).orderBy("tier", "ord")
-    exact = exact.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select(key, "asset", "tier")
+    exact = exact.groupBy(key).agg(best)
     rest = p.join(exact.select(key), key, "left_anti")
-    pieces = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda i: F.substring(x, i, F.lit(3))))
     has = lambda x, y: F.contains(x, y)
     tier = (
         F.when(F.col("b").startswith(F.col("c")), 3)
@@ -82,14 +84,20 @@ def match_tiers(products: DataFrame, assets: DataFrame, key: str, name: str, ass
         .when((F.length("cz") >= 3) & (F.col("cz") != F.col("cn")) & has(F.col("bn"), F.col("cz")), 8)
         .when((F.length("cn") >= 3) & (F.length("bz") >= 3) & has(F.col("bz"), F.col("cn")), 9)
     )
-    # Whichever contains the other, both have the shorter one's first piece: one side gives that, the other side all of its own.
-    ours, theirs = rest.filter("length(cz) >= 3"), a.filter("length(bn) >= 3")
-    head = lambda x: F.substring(x, 1, 3)
-    by_name = ours.withColumn("_p", F.explode(F.array_distinct(F.array(head("cn"), head("cz"))))).join(theirs.withColumn("_p", F.explode(pieces(F.col("bn")))), "_p")
-    by_asset = ours.withColumn("_p", F.explode(pieces(F.col("cn")))).join(theirs.withColumn("_p", F.explode(F.array_distinct(F.array(head("bn"), head("bz"))))), "_p")
-    near = by_name.unionByName(by_asset).withColumn("tier", tier).filter("tier IS NOT NULL")
-    near = near.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select(key, "asset", "tier")
-    return p.select(key).join(exact.unionByName(near), key, "left")
+    cut = lambda x, n: F.when(F.length(x) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - (n - 1), F.lit(1))), lambda i: F.substring(x, i, F.lit(n))))).otherwise(F.array())
+    pieces = lambda x: F.concat(*[cut(F.col(x), n) for n in PIECES])
+    head = lambda x: F.coalesce(*[F.when(F.length(x) >= n, F.substring(x, 1, n)) for n in reversed(PIECES)])
+    by_name = lambda ours, short, long: ours.withColumn("_p", short).join(a.withColumn("_p", F.explode(pieces(long))), "_p")
+    by_asset = lambda ours, long, short: ours.withColumn("_p", F.explode(pieces(long))).join(a.withColumn("_p", head(short)), "_p")
+    keyed = rest.filter("length(cn) >= 3")
+    near = by_name(rest, head("c"), "b").unionByName(by_asset(rest, "c", "b"))
+    near = near.unionByName(by_name(keyed, F.explode(F.array_distinct(F.array(head("cn"), head("cz")))), "bn")).unionByName(by_asset(keyed, "cn", "bn"))
+    near = near.withColumn("tier", tier).filter("tier IS NOT NULL").select(key, "tier", "ord", "asset")
+    few = a.withColumn("_p", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), cut(F.col("b"), 1), cut(F.col("b"), 2)))))
+    few = few.withColumn("tier", F.when(F.col("b").startswith(F.col("_p")), 3).otherwise(4)).groupBy("_p").agg(best)
+    short = rest.filter("length(c) < 3").join(few, F.col("c") == F.col("_p")).select(key, "best.tier", "best.ord", "best.asset")
+    near = near.unionByName(short).groupBy(key).agg(best)
+    return p.select(key).join(exact.unionByName(near).select(key, "best.asset", "best.tier"), key, "left")
 
 
 def overlap(a: Column, b: Column) -> Column:

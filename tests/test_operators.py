@@ -40,6 +40,35 @@ def test_match_tiers(spark):
     assert got == {1: ("ab12", 1), 2: ("megere", 2), 3: ("12345", 5), 4: ("ab99", 5), 5: (None, None), 6: ("x evier-opale y", 6)}
 
 
+def tiers_by_hand(names, assets):
+    """The tiers, pair by pair; keys of plain letters and digits."""
+    bare = lambda x: "".join(c for c in x if c in "abcdefghijklmnopqrstuvwxyz0123456789")
+    out = {}
+    for i, name in names:
+        c, found = name.lower(), []
+        cn = bare(c)
+        cz = cn.lstrip("0")
+        for asset, o in assets:
+            b = asset.lower()
+            bn = bare(b)
+            bz = bn.lstrip("0")
+            tests = [c == b, False, b.startswith(c), c in b, len(b) >= 4 and b in c, len(cn) >= 3 and cn in bn, len(cn) >= 3 and len(bn) >= 4 and bn in cn]
+            tests += [len(cz) >= 3 and cz != cn and cz in bn, len(cn) >= 3 and len(bz) >= 3 and cn in bz]
+            found += [(tests.index(True) + 1, o, asset)] if any(tests) else []
+        out[i] = min(found)[::2][::-1] if found else (None, None)
+    return out
+
+
+def test_match_tiers_of_short_names_and_other_scripts(spark):
+    names = ["007", "A1", "0012", "Лампа", "灯", "x", "", "00", "0-0-1", "№", "Q", "лампа настольная 5", "a.b.c", "long name that is contained in another", "ab-12 34567890 zz"]
+    assets = ["img 0012", "agent 007", "a1-front", "b a1", "фото лампа", "настольная", "灯 2", "box", "000", "0 01x", "№5", "a b c d", "the long name that is contained in another one", "1234567890", "p q"]
+    names, assets = list(enumerate(names)), [(x, i) for i, x in enumerate(assets)]
+    got = joins.match_tiers(spark.createDataFrame(names, "id int, name string"), spark.createDataFrame(assets, "stem string, o int"), "id", "name", "stem", "o").collect()
+    want = tiers_by_hand(names, assets)
+    assert {r["id"]: (r["asset"], r["tier"]) for r in got} == want
+    assert [want[i] for i in (0, 1, 2, 3)] == [("agent 007", 4), ("a1-front", 3), ("img 0012", 4), ("фото лампа", 4)]
+
+
 def test_headers_of_blank_families(spark):
     rows = [(1, "", "", "a"), (2, "F", "s", "b"), (3, "F", "s", "c"), (4, "F", "", "d"), (5, "F", "s", "e"), (6, "", "", "f"), (7, "", "t", "g")]
     df = spark.createDataFrame([("k", *r) for r in rows], "k string, o int, fam string, sub string, label string")
