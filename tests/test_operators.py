@@ -1,11 +1,13 @@
 import itertools
 
+from compare import DATA
 from pyspark.sql import functions as F
 
 from pagewright.operators import joins, ordered, ranking
 from pagewright.operators.ingest import unique_headers
 from pagewright.plans.allocate import allocate, place_products
 from pagewright.plans.assemble import contents_pages
+from pagewright.queries.matching import q_asset_match
 from pagewright.streaming.stateful import admissions, admit, circuit, trip
 
 
@@ -69,6 +71,17 @@ def test_match_tiers_of_short_names_and_other_scripts(spark):
     assert [want[i] for i in (0, 1, 2, 3)] == [("agent 007", 4), ("a1-front", 3), ("img 0012", 4), ("фото лампа", 4)]
 
 
+def test_asset_match_takes_all_parts(spark):
+    part = [(r["p_partkey"], r["p_name"]) for r in spark.read.parquet(f"{DATA}/part.parquet").collect()]
+    assets = {}
+    for k, name in part:
+        low = name.lower()
+        stem = (low, low + "-v2", low.replace(" ", "_"), "img " + low, name[:5])[k % 5]
+        assets[stem] = min(k, assets.get(stem, k))
+    got = {r["p_partkey"]: (r["asset"], r["tier"]) for r in q_asset_match(spark, DATA).collect()}
+    assert got == tiers_by_hand(part, list(assets.items()))
+
+
 def test_headers_of_blank_families(spark):
     rows = [(1, "", "", "a"), (2, "F", "s", "b"), (3, "F", "s", "c"), (4, "F", "", "d"), (5, "F", "s", "e"), (6, "", "", "f"), (7, "", "t", "g")]
     df = spark.createDataFrame([("k", *r) for r in rows], "k string, o int, fam string, sub string, label string")
