@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,12 @@ from pagewright.llm.substrings import ODD, Hashes
 
 #: Words of a k-mer, sketches of a text, k-mers of a sketch.
 K, SKETCHES, ORDERED = 5, 16, 3
-#: Two texts are compared in full if they share so many sketches. Members of a bucket that are compared with each other at once;
-#: larger buckets are split by their members' other sketches first.
-SHARED, AT_ONCE = 3, 2048
+#: Two texts are compared in full if they share so many sketches. Rows of a bucket that are held as Python objects at once.
+SHARED, AT_ONCE = 2, 2048
+#: Texts of up to so many k-mers also meet by their k-mers, so that none of their links is missed.
+FEW = 25
+#: Bits of a text that bound how many k-mers it doesn't have in common with another.
+BITS = 512
 #: Candidates that a member has in a bucket in the first round, and how many times more in each round after.
 FIRST, MORE = 2, 8
 CHUNK = 4 << 20
@@ -81,6 +85,24 @@ def sketches(texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parities(labels: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """BITS bits of each text as bytes: whether an odd number of its labelled k-mers falls on a bit. Two texts differ in at most as
+    many bits as there are k-mers that only one of them has."""
+    out, ends = np.empty((len(sizes), BITS // 8), np.uint8), np.cumsum(sizes)
+    for lo in range(0, len(sizes), 4096):
+        own = sizes[lo : lo + 4096]
+        bit = (labels[ends[lo] - sizes[lo] : ends[lo + len(own) - 1]] % np.uint64(BITS)).astype(np.int64)
+        odd = np.bincount(np.repeat(np.arange(len(own)), own) * BITS + bit, minlength=len(own) * BITS) & 1
+        out[lo : lo + 4096] = np.packbits(odd.astype(np.uint8).reshape(-1, BITS), axis=1)
+    return out
+
+
+def starts(labels: np.ndarray, least: float) -> np.ndarray:
+    """The least labelled k-mers of a text, so many that two texts of a similarity of `least` have one of them in common."""
+    n = len(labels)
+    return np.sort(labels)[: n - math.ceil(least * n - 1e-9) + 1]
+
+
 def prepared(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Labelled k-mers sorted, and where each stands in the text."""
     order = np.argsort(labels)
@@ -125,33 +147,43 @@ def aligned_share(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndar
     return got if got >= least - 1e-12 else 0.0
 
 
-def _sketch(batches):
-    for ids, texts in chunked(batches, CHUNK):
-        memo, keys, hashes, own = Hashes(), [], [], []
-        for i, t in enumerate(texts):
-            words = t.translate(LOWER).split()
-            keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
-            if words:
-                hashes.append(kmers(words, memo))
-                own.append(i)
-        sk = [None] * len(ids)
-        n = np.zeros(len(ids), np.int32)
-        if own:
-            n[own] = [len(h) for h in hashes]
-            for i, row in zip(own, sketches(hashes), strict=True):
-                sk[i] = row.tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(n), pa.array(sk, pa.binary())], names=["did", "key", "n", "sketches"])
+def _sketch(least: float):
+    def run(batches):
+        for ids, texts in chunked(batches, CHUNK):
+            memo, keys, hashes, own = Hashes(), [], [], []
+            for i, t in enumerate(texts):
+                words = t.translate(LOWER).split()
+                keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
+                if words:
+                    hashes.append(kmers(words, memo))
+                    own.append(i)
+            sk, few = [None] * len(ids), [None] * len(ids)
+            n = np.zeros(len(ids), np.int32)
+            if own:
+                sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
+                n[own] = sizes
+                labels = labelled(np.concatenate(hashes), np.repeat(np.arange(len(hashes)), sizes))
+                ends = np.cumsum(sizes)
+                for i, row, bits, end, size in zip(own, sketches(hashes), parities(labels, sizes), ends, sizes, strict=True):
+                    sk[i] = row.tobytes() + bits.tobytes()
+                    few[i] = starts(labels[end - size : end], least).tobytes() if size <= FEW else b""
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(n), pa.array(sk, pa.binary()), pa.array(few, pa.binary())], names=["did", "key", "n", "sketches", "few"])
+
+    return run
 
 
 def _explode(batches):
-    """A row for each sketch of a text: bucket (a hash of the sketch), node, k-mers, and all its sketches, 16 bits of each."""
+    """A row for each sketch of a text, and for each of its starts: bucket (a hash of the sketch, even; of the k-mer, odd), node,
+    k-mers, and all its sketches, 16 bits of each, with its parities."""
     for batch in batches:
-        s = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, SKETCHES)
-        marks = s.astype(np.uint16)
-        node = np.repeat(batch.column(0).to_numpy(), SKETCHES)
-        n = np.repeat(batch.column(1).to_numpy(), SKETCHES)
-        mark = pa.array([m.tobytes() for m in marks], pa.binary()).take(pa.array(np.repeat(np.arange(len(s)), SKETCHES)))
-        yield pa.RecordBatch.from_arrays([pa.array(s.ravel().view(np.int64)), pa.array(node), pa.array(n), mark], names=["bucket", "node", "n", "marks"])
+        whole = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, SKETCHES * 8 + BITS // 8)
+        s = np.ascontiguousarray(whole[:, : SKETCHES * 8]).view(np.uint64)
+        marks = [m.tobytes() + w.tobytes() for m, w in zip(s.astype(np.uint16), whole[:, SKETCHES * 8 :], strict=True)]
+        few = batch.column(3).to_pylist()
+        row = np.concatenate([np.repeat(np.arange(len(s)), SKETCHES), np.repeat(np.arange(len(s)), [len(f) // 8 for f in few])])
+        bucket = np.concatenate([s.ravel() & ~np.uint64(1), np.frombuffer(b"".join(few), np.uint64) | np.uint64(1)])
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(marks, pa.binary()).take(at)], names=["bucket", "node", "n", "marks"])
 
 
 PAIRS = "kind int, a long, b long, bucket long, n int, marks binary"
@@ -160,9 +192,10 @@ PAIRS = "kind int, a long, b long, bucket long, n int, marks binary"
 def _pairs(turn: int, least: float):
     """Candidates inside buckets: kind 0 rows are pairs (a, b); kind 1 rows are members (a) of buckets that have more pairs.
 
-    Each member has as candidates the members before it that share SHARED sketches and fit by length, ranked by shared sketches.
+    Each member has as candidates the members before it that share SHARED sketches (any, in the bucket of a k-mer) and can reach
+    `least` by their lengths and parities, ranked by shared sketches.
     A round takes those ranked in [lo, hi) that are still of another class; the ranks don't change from round to round, so every
-    candidate has its turn. A member of a bucket takes 52 bytes.
+    candidate has its turn. A member of a bucket takes 116 bytes.
     """
     lo = 0 if turn == 0 else FIRST * MORE ** (turn - 1)
     hi = FIRST * MORE**turn
@@ -171,12 +204,15 @@ def _pairs(turn: int, least: float):
         for (bucket,), rows in by_group(batches, "bucket"):
             node, n, marks, label = members_of(rows)
             kept, pairs, more = np.zeros(0, np.int64), [], False
+            bits = np.ascontiguousarray(marks[:, SKETCHES:]).view(np.uint64)
+            asked = 0 if bucket & 1 else SHARED
             for start in range(0, len(node), AT_ONCE):
                 held = np.concatenate([kept, np.arange(start, min(start + AT_ONCE, len(node)))])
-                m, size = marks[held], n[held]
+                m, size = marks[held, :SKETCHES], n[held]
                 for i in range(len(kept), len(held)):
                     shared = (m[:i] == m[i]).sum(axis=1)
-                    at = np.flatnonzero((shared >= SHARED) & (np.minimum(size[:i], size[i]) >= least * np.maximum(size[:i], size[i])) & (node[held[:i]] != node[held[i]]))
+                    at = np.flatnonzero((shared >= asked) & (np.minimum(size[:i], size[i]) >= least * np.maximum(size[:i], size[i])) & (node[held[:i]] != node[held[i]]))
+                    at = at[np.bitwise_count(bits[held[at]] ^ bits[held[i]]).sum(axis=1) <= (size[at] + size[i]) * (1 - least) / (1 + least) + 1e-9]
                     if len(at) > lo:
                         at = held[at[np.lexsort((at, -shared[at]))]]
                         other = label[at] != label[held[i]]
@@ -195,7 +231,7 @@ def members_of(rows):
     parts, held = [], []
 
     def close():
-        parts.append((np.array([r["node"] for r in held], np.int64), np.array([r["n"] for r in held], np.int32), np.frombuffer(b"".join(r["marks"] for r in held), np.uint16).reshape(-1, SKETCHES), np.array([r["label"] for r in held], np.int64)))
+        parts.append((np.array([r["node"] for r in held], np.int64), np.array([r["n"] for r in held], np.int32), np.frombuffer(b"".join(r["marks"] for r in held), np.uint16).reshape(-1, SKETCHES + BITS // 16), np.array([r["label"] for r in held], np.int64)))
         held.clear()
 
     for r in rows:
@@ -290,8 +326,8 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.8) -> DataFrame:
 
     docs: doc_id, text; other columns are ignored. Words: A-Z lower-cased, [^\\x20\\x09-\\x0D]+; k-mers of 5 words (a shorter
     text is one k-mer), each labelled with its occurrence number. Documents with equal words are copies, of one class. Of different
-    texts, those that share SHARED of 16 sketches are candidates (missed with a chance under 0.002 at similarity 0.8), and
-    linked if the ordered share of common k-mers, by banded alignment, is `least` or more. Classes are what links reach.
+    texts, those that share SHARED of 16 sketches are candidates (missed with a chance under 0.0003 at similarity 0.8), as are all
+    that reach `least` among texts of up to FEW k-mers, by an index of their k-mers (none is missed). Candidates are linked if the ordered share of common k-mers, by banded alignment, is `least` or more. Classes are what links reach.
     A pair is left unaligned only if other links already put both texts in one class; so classes are those of all candidates,
     while n_links counts the links found. Texts without words are alone. Rows that share doc_id are one document, in one class; a null doc_id is a document below all others, whose
     class_id is null. An empty table gives an empty result.
@@ -299,10 +335,10 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.8) -> DataFrame:
     is split first by its members' other sketches; a member has few candidates a round, so pairs grow with members.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = materialize(rows.mapInArrow(_sketch, "did long, key binary, n int, sketches binary"), "sketches")
-    texts = rows.filter("key is not null").groupBy("key").agg(F.min("did").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
+    rows = materialize(rows.mapInArrow(_sketch(least), "did long, key binary, n int, sketches binary, few binary"), "sketches")
+    texts = rows.filter("key is not null").groupBy("key").agg(F.min("did").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.first("few").alias("few"))
     texts = materialize(texts, "texts")
-    members = texts.select("node", "n", "sketches").mapInArrow(_explode, "bucket long, node long, n int, marks binary")
+    members = texts.select("node", "n", "sketches", "few").mapInArrow(_explode, "bucket long, node long, n int, marks binary")
     hot = materialize(members.groupBy("bucket").count().filter(F.col("count") > AT_ONCE).select("bucket"), "hot")
     if hot.limit(1).count():
         # Members of a large bucket meet again where they share another sketch, too.

@@ -199,6 +199,24 @@ def test_near_duplicates(spark, monkeypatch):
         assert got == want
 
 
+def test_near_duplicates_of_short_texts(spark):
+    rows = []
+    for g in range(300):  # nine words against their first eight: 4 of 5 k-mers
+        words = prose(f"short{g}", 9)
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:8]))]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes_by_hand(rows) and all(got[2 * g] == got[2 * g + 1] for g in range(300))
+
+
+def test_parities_bound_what_is_not_common():
+    rng = np.random.default_rng(2)
+    for size in (3, 60, 900):
+        a = neardup.mix64(rng.integers(0, 1 << 60, size).astype(np.uint64))
+        b = np.concatenate([a[: size * 2 // 3], neardup.mix64(rng.integers(0, 1 << 60, size // 5).astype(np.uint64))])
+        x, y = neardup.parities(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_similarity_by_longest_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(50):
