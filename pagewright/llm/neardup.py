@@ -203,24 +203,21 @@ def _pairs(turn: int, least: float):
     def run(batches):
         for (bucket,), rows in by_group(batches, "bucket"):
             node, n, marks, label = members_of(rows)
-            kept, pairs, more = np.zeros(0, np.int64), [], False
-            bits = np.ascontiguousarray(marks[:, SKETCHES:]).view(np.uint64)
+            pairs, more = [], False
+            sketch, bits = np.ascontiguousarray(marks[:, :SKETCHES].T), np.ascontiguousarray(marks[:, SKETCHES:]).view(np.uint64)
             asked = 0 if bucket & 1 else SHARED
-            for start in range(0, len(node), AT_ONCE):
-                held = np.concatenate([kept, np.arange(start, min(start + AT_ONCE, len(node)))])
-                m, size = marks[held, :SKETCHES], n[held]
-                for i in range(len(kept), len(held)):
-                    shared = (m[:i] == m[i]).sum(axis=1)
-                    at = np.flatnonzero((shared >= asked) & (np.minimum(size[:i], size[i]) >= least * np.maximum(size[:i], size[i])) & (node[held[:i]] != node[held[i]]))
-                    at = at[np.bitwise_count(bits[held[at]] ^ bits[held[i]]).sum(axis=1) <= (size[at] + size[i]) * (1 - least) / (1 + least) + 1e-9]
-                    if len(at) > lo:
-                        at = held[at[np.lexsort((at, -shared[at]))]]
-                        other = label[at] != label[held[i]]
-                        pairs += [(int(node[j]), int(node[held[i]])) for j in at[lo:hi][other[lo:hi]]]
-                        more |= bool(other[hi:].any())
-                # A later block is compared with the first of this one's members for each set of marks.
-                if start + AT_ONCE < len(node):
-                    kept = held[np.sort(np.unique(m, axis=0, return_index=True)[1])]
+            for i in range(1, len(node)):
+                # What is in one class with all before it has no candidates left.
+                if (label[:i] == label[i]).all():
+                    continue
+                shared = (sketch[:, :i] == sketch[:, i : i + 1]).view(np.uint8).sum(axis=0, dtype=np.uint8).astype(np.int16)
+                at = np.flatnonzero((shared >= asked) & (np.minimum(n[:i], n[i]) >= least * np.maximum(n[:i], n[i])) & (node[:i] != node[i]))
+                at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= (n[at] + n[i]) * (1 - least) / (1 + least) + 1e-9]
+                if len(at) > lo:
+                    at = at[np.lexsort((at, -shared[at]))]
+                    other = label[at] != label[i]
+                    pairs += [(int(node[j]), int(node[i])) for j in at[lo:hi][other[lo:hi]]]
+                    more |= bool(other[hi:].any())
             yield from pair_rows(bucket, pairs, (node, n, marks) if more else None)
 
     return run
@@ -331,21 +328,14 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.8) -> DataFrame:
     A pair is left unaligned only if other links already put both texts in one class; so classes are those of all candidates,
     while n_links counts the links found. Texts without words are alone. Rows that share doc_id are one document, in one class; a null doc_id is a document below all others, whose
     class_id is null. An empty table gives an empty result.
-    Copies are summed before the shuffle and go on as one text. A bucket is read in blocks of AT_ONCE members, and one of more
-    is split first by its members' other sketches; a member has few candidates a round, so pairs grow with members.
+    Copies are summed before the shuffle and go on as one text. In a bucket each member is compared with all before it, by its
+    sketches and parities; a member has few candidates a round, so pairs grow with members.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = materialize(rows.mapInArrow(_sketch(least), "did long, key binary, n int, sketches binary, few binary"), "sketches")
     texts = rows.filter("key is not null").groupBy("key").agg(F.min("did").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.first("few").alias("few"))
     texts = materialize(texts, "texts")
     members = texts.select("node", "n", "sketches", "few").mapInArrow(_explode, "bucket long, node long, n int, marks binary")
-    hot = materialize(members.groupBy("bucket").count().filter(F.col("count") > AT_ONCE).select("bucket"), "hot")
-    if hot.limit(1).count():
-        # Members of a large bucket meet again where they share another sketch, too.
-        big = members.join(hot, "bucket", "left_semi")
-        marks = F.explode(F.sequence(F.lit(0), F.lit(SKETCHES - 1)))
-        big = big.withColumn("j", marks).withColumn("bucket", F.xxhash64("bucket", "j", F.substring(F.col("marks"), F.col("j") * 2 + 1, F.lit(2)))).drop("j")
-        members = members.join(hot, "bucket", "left_anti").unionByName(big)
     several = members.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("size > 1").drop("size").withColumn("label", F.col("node"))
     links, labels, turn = None, None, 0
     found = several.sortWithinPartitions("bucket", "node").mapInArrow(_pairs(turn, least), PAIRS)

@@ -208,6 +208,21 @@ def test_near_duplicates_of_short_texts(spark):
     assert got == classes_by_hand(rows) and all(got[2 * g] == got[2 * g + 1] for g in range(300))
 
 
+def test_near_duplicates_behind_equal_sketches(spark, monkeypatch):
+    of = lambda words: neardup.kmers(" ".join(words).encode().split(), neardup.Hashes())
+    for seed in range(100):  # a text and its beginning with the same sketches
+        base = prose(f"equal{seed}", 304)
+        one, two = neardup.sketches([of(base), of(base[:301])])
+        if (one == two).all():
+            break
+    rows = [(1, " ".join(base)), (2, " ".join(base[:301])), (3, " ".join(base[:242]))]
+    labels = [neardup.labelled(h, np.zeros(len(h), np.int64)) for h in (of(t.split()) for _, t in rows)]
+    assert (one == two).all() and not neardup.similarity(labels[0], labels[2], 0.8) and neardup.similarity(labels[1], labels[2], 0.8)
+    monkeypatch.setattr(neardup, "AT_ONCE", 2)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}
+
+
 def test_parities_bound_what_is_not_common():
     rng = np.random.default_rng(2)
     for size in (3, 60, 900):
