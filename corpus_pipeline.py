@@ -10,7 +10,7 @@ from pagewright.llm.decontam import decontaminate
 from pagewright.llm.langid import UNKNOWN, fit, identify
 from pagewright.llm.line_dedup import dedup_lines
 from pagewright.llm.mixing import mix
-from pagewright.llm.neardup import near_duplicates
+from pagewright.llm.neardup import one_of_each
 
 
 def as_documents(df: DataFrame) -> DataFrame:
@@ -43,10 +43,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each class of near duplicates; of rows that share doc_id, one."""
-    docs = columns(docs)
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["doc_id"])
+    """Keeps one document of each class of near duplicates, with the least doc_id of the class; documents of different texts that share
+    doc_id, or have none, are different documents."""
+    out = one_of_each(columns(docs))
     return as_documents(out.select("doc_id", "text", F.struct(*CARRY).alias("carried")))
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from pagewright.llm.common import LOWER, by_group, chunked, materialize, mix64
 from pagewright.llm.line_dedup import NO_ID
@@ -326,15 +327,41 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.8) -> DataFrame:
     texts, those that share SHARED of 16 sketches are candidates (missed with a chance under 0.0003 at similarity 0.8), as are all
     that reach `least` among texts of up to FEW k-mers, by an index of their k-mers (none is missed). Candidates are linked if the ordered share of common k-mers, by banded alignment, is `least` or more. Classes are what links reach.
     A pair is left unaligned only if other links already put both texts in one class; so classes are those of all candidates,
-    while n_links counts the links found. Texts without words are alone. Rows that share doc_id are one document, in one class; a null doc_id is a document below all others, whose
-    class_id is null. An empty table gives an empty result.
+    while n_links counts the links found. Texts without words are alone. Rows with different texts are different documents, also if they share doc_id or have
+    none; a null doc_id is below all others, and a class that has one has a null class_id. An empty table gives an empty result.
     Copies are summed before the shuffle and go on as one text. In a bucket each member is compared with all before it, by its
     sketches and parities; a member has few candidates a round, so pairs grow with members.
     """
+    rows, known = text_classes(docs, least)
+    out = rows.select("did", "key").join(known.select("key", "class_id", "n_links"), "key", "left")
+    null_id = lambda c: F.when(c != NO_ID, c)
+    return out.select(null_id(F.col("did")).alias("doc_id"), null_id(F.coalesce("class_id", "did")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, *, least: float = 0.8) -> DataFrame:
+    """The rows of docs that stay, one for each class of near duplicates: one with the least doc_id, null first, and a text of the class.
+    Rows without words all stay."""
+    _, known = text_classes(docs, least)
+    kept = known.filter("first").select(F.col("key").alias("_key"), F.col("least").alias("_did"))
+    keyed = docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    keyed = keyed.mapInArrow(_keyed, StructType([*keyed.schema.fields, StructField("_key", BinaryType())]))
+    return keyed.join(kept, ["_key", "_did"], "left_semi").dropDuplicates(["_key"]).unionByName(keyed.filter("_key IS NULL")).drop("_key", "_did")
+
+
+def _keyed(batches):
+    """A column _key more: hash of the words of text."""
+    for batch in batches:
+        words = [(t or b"").translate(LOWER).split() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words], pa.binary())], names=[*batch.schema.names, "_key"])
+
+
+def text_classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (did, key) of docs, and for each text (key): its least did, class_id, whether it stands for its class (first), n_links."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = materialize(rows.mapInArrow(_sketch(least), "did long, key binary, n int, sketches binary, few binary"), "sketches")
-    texts = rows.filter("key is not null").groupBy("key").agg(F.min("did").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.first("few").alias("few"))
-    texts = materialize(texts, "texts")
+    texts = rows.filter("key is not null").groupBy("key").agg(F.min("did").alias("least"), F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.first("few").alias("few"))
+    # Each text is a node of its own, also where texts share a doc_id or have none.
+    texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     members = texts.select("node", "n", "sketches", "few").mapInArrow(_explode, "bucket long, node long, n int, marks binary")
     several = members.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("size > 1").drop("size").withColumn("label", F.col("node"))
     links, labels, turn = None, None, 0
@@ -347,7 +374,7 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.8) -> DataFrame:
             if turn:
                 done = links.select("a", "b")
                 pairs = pairs.join(F.broadcast(done) if done.count() <= BROADCAST_LINKS else done, ["a", "b"], "left_anti")
-            new = materialize(aligned(docs, materialize(sized(pairs, n), f"new{turn}"), least), f"links{turn}")
+            new = materialize(aligned(docs, materialize(sized(pairs, n), f"new{turn}"), texts, least), f"links{turn}")
             links = new if links is None else links.unionByName(new)
             labels = components(new.filter("similarity > 0"), labels)
         rest = found.filter("kind = 1")
@@ -359,28 +386,30 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.8) -> DataFrame:
         turn += 1
         found = several.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_pairs(turn, least), PAIRS)
         found = sized(found, n, 2000)
+    alone = [F.col("least").alias("class_id"), F.lit(True).alias("first")]
     if links is None:
-        known = texts.select("key", F.col("node").alias("class"), F.lit(0).cast("long").alias("n_links"))
+        known = texts.select("key", "least", *alone, F.lit(0).cast("long").alias("n_links"))
     else:
-        true = links.filter("similarity > 0").select("a", "b").distinct()  # a doc_id with several texts may be linked twice
+        true = links.filter("similarity > 0").select("a", "b").distinct()
         degree = true.select(F.col("a").alias("node")).union(true.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-        known = texts.join(labels, "node", "left").join(degree, "node", "left").select("key", F.coalesce("label", "node").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    known = materialize(known, "classes")
-    out = rows.select("did", "key").join(known, "key", "left")
-    null_id = lambda c: F.when(c != NO_ID, c)
-    return out.select(null_id(F.col("did")).alias("doc_id"), null_id(F.coalesce("class", "did")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        linked = texts.select("node", "least", "key").join(labels, "node")
+        classes = linked.groupBy("label").agg(F.min(F.struct("least", "key")).alias("head"))
+        heads = materialize(linked.join(classes, "label").join(degree, "node", "left").select("key", "least", F.col("head.least").alias("class_id"), (F.col("head.key") == F.col("key")).alias("first"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "heads")
+        known = texts.join(heads.select("key"), "key", "left_anti").select("key", "least", *alone, F.lit(0).cast("long").alias("n_links")).unionByName(heads)
+    return rows, materialize(known, "classes")
 
 
-def aligned(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """a, b, similarity (0 if under least) for pairs of documents; only their texts are moved."""
+def aligned(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """a, b, similarity (0 if under least) for pairs of texts, nodes (node, key, least); only their texts are moved."""
     n = pairs.count()
     few = F.broadcast if n <= BROADCAST_LINKS // 2 else (lambda df: df)
-    nodes = materialize(sized(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), 2 * n), "nodes")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(few(nodes), "node", "left_semi")
-    texts = materialize(texts, "pair_texts")
+    own = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    own = materialize(sized(nodes.select("node", "key", F.col("least").alias("did")).join(few(own), "node", "left_semi"), 2 * n), "nodes")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(few(own.select("did").distinct()), "did", "left_semi")
+    texts = texts.mapInArrow(_keyed, "did long, text string, _key binary").withColumnRenamed("_key", "key").join(few(own), ["did", "key"])
+    texts = materialize(texts.select("node", "text").dropDuplicates(["node"]), "pair_texts")
     one, two = texts.select(F.col("node").alias("a"), F.col("text").alias("one")), texts.select(F.col("node").alias("b"), F.col("text").alias("two"))
     both = one.join(few(pairs), "a").join(two, "b").select("a", "b", "one", "two")
-    # A document whose rows have several texts is linked if one of them is.
     return sized(both.mapInArrow(_verify(least), "a long, b long, similarity double"), n, 1000)
 
 

@@ -32,3 +32,13 @@ def test_each_stage_returns_documents(spark, odd_docs, no_docs):
                 assert out.columns == COLUMNS
         clean = spark.createDataFrame([(1, "A clean text of some words that nothing else holds.", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
         assert stage(spark, clean, DATA).count() == 1
+
+
+def test_near_dedup_keeps_texts_that_share_an_id(spark, odd_docs):
+    out = corpus_pipeline.near_dedup(spark, odd_docs, DATA).collect()
+    had = {r["text"] for r in odd_docs.collect() if r["doc_id"] == 3}
+    assert len(had) == 2 and had == {r["text"] for r in out if r["doc_id"] == 3}
+    rows = [(None, f"text {k} without an id and with words of its own {k * k}") for k in range(5)] + [(7, "Text 2 without an id  and with words of its own 4"), (8, "one more"), (8, "one  more"), (9, "")]
+    docs = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    out = corpus_pipeline.near_dedup(spark, docs, DATA).collect()
+    assert sorted((r["doc_id"] or 0, " ".join(r["text"].split())) for r in out) == sorted([(0, r[1]) for r in rows[:5]] + [(8, "one more"), (9, "")])
