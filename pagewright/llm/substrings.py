@@ -1,4 +1,5 @@
-"""Substring dedup: prefix-partitioned suffix trees over words, whose deep internal nodes give the repeated passages."""
+"""Substring dedup: hashed windows of words, whose repeated ones give the repeated passages. No suffix tree is built: windows of
+one length are equal where its nodes at that depth would have two leaves or more, and nothing else of it is asked for."""
 
 from __future__ import annotations
 
@@ -135,7 +136,7 @@ def repeated_passages(docs: DataFrame, *, window: int = 35, depths: tuple[int, .
 
     docs: doc_id, text; other columns are ignored. Words: [^\\x20\\x09-\\x0D]+, unchanged; null has none. A suffix starts at each
     word. Its prefixes of depths[0], ... and at last `window` words are hashed; the hash deals suffixes to groups of about
-    GROUP_KEYS, so a group holds whole subtrees and fits in memory. A suffix alone in its prefix is a leaf and goes; others go
+    GROUP_KEYS, so a group holds all copies of a prefix and fits in memory. A suffix alone in its prefix is a leaf and goes; others go
     on with a longer prefix (so prefixes are as long as they have to be). Nodes at depth `window` with two leaves or more are
     the deep internal nodes: every word in the first `window` words of such a suffix is removed, all copies alike.
     Returns doc_id, n_words, n_removed, text (kept words joined by one space), spans (array of start and length, in words, of the
