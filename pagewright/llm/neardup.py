@@ -8,18 +8,20 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from pagewright.llm.common import LOWER, by_group, chunked, materialize, mix64
+from pagewright.llm.common import LOWER, chunked, materialize, mix64
 from pagewright.llm.line_dedup import NO_ID
 from pagewright.llm.substrings import ODD, Hashes
 
 #: Words of a k-mer, sketches of a text, k-mers of a sketch.
 K, SKETCHES, ORDERED = 5, 16, 3
-#: Two texts are compared in full if they share so many sketches. Rows of a bucket that are held as Python objects at once.
-SHARED, AT_ONCE = 2, 2048
+#: Two texts are compared in full if they share so many sketches.
+SHARED = 2
+#: Members of a block of a bucket. A task holds one block and as many visitors at most, 210 bytes each.
+BLOCK = 8192
 #: Texts of up to so many k-mers also meet by their k-mers, so that none of their links is missed.
 FEW = 25
 #: Bits of a text that bound how many k-mers it doesn't have in common with another.
@@ -29,8 +31,10 @@ FIRST, MORE = 2, 8
 CHUNK = 4 << 20
 #: k-mers of texts that a task keeps while it aligns pairs, as a text is in several.
 HELD_KMERS = 4_000_000
-#: At most so many labels or ids of texts are sent to all executors; more are shuffled.
-BROADCAST_LINKS = 2_000_000
+#: At most so many labels or links are sent to all executors (under 10 MB); more are shuffled.
+BROADCAST_LINKS = 200_000
+#: Bits of the table, of fixed size, by which documents that are not candidates are left out before texts are shuffled.
+SLOTS = 1 << 24
 
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -168,93 +172,108 @@ def _sketch(least: float):
                 for i, row, bits, end, size in zip(own, sketches(hashes), parities(labels, sizes), ends, sizes, strict=True):
                     sk[i] = row.tobytes() + bits.tobytes()
                     few[i] = starts(labels[end - size : end], least).tobytes() if size <= FEW else b""
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(n), pa.array(sk, pa.binary()), pa.array(few, pa.binary())], names=["did", "key", "n", "sketches", "few"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(n), pa.array(sk, pa.binary()), pa.array(few, pa.binary())], names=["did", "key", "n", "marks", "few"])
 
     return run
 
 
 def _explode(batches):
-    """A row for each sketch of a text, and for each of its starts: bucket (a hash of the sketch, even; of the k-mer, odd), node,
-    k-mers, and all its sketches, 16 bits of each, with its parities."""
+    """A row for each sketch of a text, and for each of its starts: bucket and node. A bucket is a hash of the sketch with its number in
+    bits 1 to 4 and bit 0 clear, or of the k-mer with bit 0 set."""
+    number = np.arange(SKETCHES, dtype=np.uint64) << np.uint64(1)
     for batch in batches:
-        whole = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, SKETCHES * 8 + BITS // 8)
-        s = np.ascontiguousarray(whole[:, : SKETCHES * 8]).view(np.uint64)
-        marks = [m.tobytes() + w.tobytes() for m, w in zip(s.astype(np.uint16), whole[:, SKETCHES * 8 :], strict=True)]
-        few = batch.column(3).to_pylist()
-        row = np.concatenate([np.repeat(np.arange(len(s)), SKETCHES), np.repeat(np.arange(len(s)), [len(f) // 8 for f in few])])
-        bucket = np.concatenate([s.ravel() & ~np.uint64(1), np.frombuffer(b"".join(few), np.uint64) | np.uint64(1)])
-        at = pa.array(row)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(marks, pa.binary()).take(at)], names=["bucket", "node", "n", "marks"])
+        s = marks_of(batch.column(1))[0]
+        few = batch.column(2).to_pylist()
+        node = np.concatenate([np.repeat(np.arange(len(s)), SKETCHES), np.repeat(np.arange(len(s)), [len(f) // 8 for f in few])])
+        bucket = np.concatenate([(s & ~np.uint64(2 * SKETCHES - 1) | number).ravel(), np.frombuffer(b"".join(few), np.uint64) | np.uint64(1)])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), batch.column(0).take(pa.array(node))], names=["bucket", "node"])
 
 
-PAIRS = "kind int, a long, b long, bucket long, n int, marks binary"
+def marks_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches and parities of a column of marks, as rows of 64-bit words."""
+    whole = np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCHES + BITS // 64)
+    return whole[:, :SKETCHES], whole[:, SKETCHES:]
 
 
-def _pairs(turn: int, least: float):
-    """Candidates inside buckets: kind 0 rows are pairs (a, b); kind 1 rows are members (a) of buckets that have more pairs.
+UNIT = ["bucket", "unit", "part"]
+MEMBER = "bucket long, unit int, part int, node long, n int, marks binary, blk int, minor boolean"
+PAIRS = f"kind int, a long, b long, {MEMBER}"
+ROWS = 8192
 
-    Each member has as candidates the members before it that share SHARED sketches (any, in the bucket of a k-mer) and can reach
-    `least` by their lengths and parities, ranked by shared sketches.
-    A round takes those ranked in [lo, hi) that are still of another class; the ranks don't change from round to round, so every
-    candidate has its turn. A member of a bucket takes 116 bytes.
+
+def _pairs(turn: int, least: float, away: bool):
+    """Candidates inside units of buckets: kind 0 rows are pairs (a, b); kind 1 rows are members of units that have more pairs.
+
+    A unit has its home members (blk = unit) and, in rounds away, visitors from other blocks of its bucket. At home each member meets the
+    members before it; away each visitor meets the home members, and of two minor members only the one of the lesser block is a visitor.
+    Candidates share SHARED sketches (fewer, in the bucket of a k-mer) and can reach `least` by their lengths and parities; a pair is one
+    in the bucket of the first sketch that it shares only. A member's candidates are ranked by shared sketches. A round takes those
+    ranked in [lo, hi) that are still of another class; ranks don't change from round to round, so every candidate has its turn.
     """
     lo = 0 if turn == 0 else FIRST * MORE ** (turn - 1)
     hi = FIRST * MORE**turn
 
     def run(batches):
-        for (bucket,), rows in by_group(batches, "bucket"):
-            node, n, marks, label = members_of(rows)
+        for (bucket, unit, _), own in units(batches, UNIT):
+            node, n, label, blk = (own.column(c).to_numpy() for c in ("node", "n", "label", "blk"))
+            minor = own.column("minor").to_numpy(zero_copy_only=False)
+            sketch, bits = marks_of(own.column("marks"))
+            sketch = np.ascontiguousarray(sketch.T)
+            home = np.flatnonzero(blk == unit)
             pairs, more = [], False
-            sketch, bits = np.ascontiguousarray(marks[:, :SKETCHES].T), np.ascontiguousarray(marks[:, SKETCHES:]).view(np.uint64)
-            asked = 0 if bucket & 1 else SHARED
-            for i in range(1, len(node)):
-                # What is in one class with all before it has no candidates left.
-                if (label[:i] == label[i]).all():
+            for i in np.flatnonzero(blk != unit) if away else range(1, len(node)):
+                pool = home[~minor[home] | (blk[i] < unit)] if away else np.arange(i)
+                pool = pool[(np.minimum(n[pool], n[i]) >= least * np.maximum(n[pool], n[i])) & (node[pool] != node[i])]
+                # What is in one class with all it meets has no candidates left.
+                if (label[pool] == label[i]).all():
                     continue
-                shared = (sketch[:, :i] == sketch[:, i : i + 1]).view(np.uint8).sum(axis=0, dtype=np.uint8).astype(np.int16)
-                at = np.flatnonzero((shared >= asked) & (np.minimum(n[:i], n[i]) >= least * np.maximum(n[:i], n[i])) & (node[:i] != node[i]))
-                at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= (n[at] + n[i]) * (1 - least) / (1 + least) + 1e-9]
-                if len(at) > lo:
-                    at = at[np.lexsort((at, -shared[at]))]
-                    other = label[at] != label[i]
-                    pairs += [(int(node[j]), int(node[i])) for j in at[lo:hi][other[lo:hi]]]
+                equal = sketch[:, pool] == sketch[:, i : i + 1]
+                shared = equal.sum(axis=0)
+                fits = shared < SHARED if bucket & 1 else (shared >= SHARED) & (equal.argmax(axis=0) == (bucket >> 1) % SKETCHES)
+                pool, shared = pool[fits], shared[fits]
+                fits = np.bitwise_count(bits[pool] ^ bits[i]).sum(axis=1) <= (n[pool] + n[i]) * (1 - least) / (1 + least) + 1e-9
+                pool, shared = pool[fits], shared[fits]
+                if len(pool) > lo:
+                    pool = pool[np.lexsort((node[pool], -shared))]
+                    other = label[pool] != label[i]
+                    pairs += [(min(int(node[j]), int(node[i])), max(int(node[j]), int(node[i]))) for j in pool[lo:hi][other[lo:hi]]]
                     more |= bool(other[hi:].any())
-            yield from pair_rows(bucket, pairs, (node, n, marks) if more else None)
+            yield from pair_rows(pairs, own if more else None)
 
     return run
 
 
-def members_of(rows):
-    """Arrays of node, n, marks and label of a bucket's rows."""
-    parts, held = [], []
-
-    def close():
-        parts.append((np.array([r["node"] for r in held], np.int64), np.array([r["n"] for r in held], np.int32), np.frombuffer(b"".join(r["marks"] for r in held), np.uint16).reshape(-1, SKETCHES + BITS // 16), np.array([r["label"] for r in held], np.int64)))
-        held.clear()
-
-    for r in rows:
-        held.append(r)
-        if len(held) == AT_ONCE:
-            close()
+def units(batches, names: list[str]):
+    """Groups of record batches that come sorted by the named columns, as (key, table)."""
+    key, held = None, []
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(c).to_numpy() for c in names]
+        edges = np.flatnonzero(np.any([np.diff(c) != 0 for c in columns], axis=0)) + 1
+        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(batch)], strict=True):
+            now = tuple(int(c[start]) for c in columns)
+            if held and now != key:
+                yield key, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = now
+            held.append(batch.slice(start, end - start))
     if held:
-        close()
-    return tuple(np.concatenate([p[k] for p in parts]) for k in range(4))
+        yield key, pa.Table.from_batches(held).combine_chunks()
 
 
-def pair_rows(bucket: int, pairs: list[tuple[int, int]], members):
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    names = ["kind", "a", "b", "bucket", "n", "marks"]
+def pair_rows(pairs: list[tuple[int, int]], members: pa.Table | None):
+    """Record batches of PAIRS: found pairs, and the members of a unit that has more."""
+    kinds = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "bucket": pa.int64(), "unit": pa.int32(), "part": pa.int32(), "node": pa.int64(), "n": pa.int32(), "marks": pa.binary(), "blk": pa.int32(), "minor": pa.bool_()}
     if pairs:
         a, b = zip(*pairs, strict=True)
-        columns = ([0] * len(a), a, b, [bucket] * len(a), [0] * len(a), [None] * len(a))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        known = {"kind": [0] * len(a), "a": a, "b": b}
+        yield pa.RecordBatch.from_arrays([pa.array(known[c], t) if c in known else pa.nulls(len(a), t) for c, t in kinds.items()], names=list(kinds))
     if members is not None:
-        node, n, marks = members
-        for start in range(0, len(node), AT_ONCE):
-            own = slice(start, start + AT_ONCE)
-            k = len(node[own])
-            columns = ([1] * k, node[own], [0] * k, [bucket] * k, n[own], [x.tobytes() for x in marks[own]])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        for start in range(0, len(members), ROWS):
+            for own in members.slice(start, ROWS).to_batches():
+                known = {"kind": pa.array([1] * len(own), pa.int32())}
+                yield pa.RecordBatch.from_arrays([known[c] if c in known else own.column(c).cast(t) if c in own.schema.names else pa.nulls(len(own), t) for c, t in kinds.items()], names=list(kinds))
 
 
 def _verify(least: float):
@@ -320,22 +339,26 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, least: float = 0.8) -> DataFrame:
-    """Class of near duplicates of each document: doc_id, class_id (least doc_id of the class), n_links (texts linked to its text).
+    """Class of near duplicates of each document: doc_id, class_id (least doc_id of the class), class_size (documents of the class).
 
     docs: doc_id, text; other columns are ignored. Words: A-Z lower-cased, [^\\x20\\x09-\\x0D]+; k-mers of 5 words (a shorter
     text is one k-mer), each labelled with its occurrence number. Documents with equal words are copies, of one class. Of different
     texts, those that share SHARED of 16 sketches are candidates (missed with a chance under 0.0003 at similarity 0.8), as are all
-    that reach `least` among texts of up to FEW k-mers, by an index of their k-mers (none is missed). Candidates are linked if the ordered share of common k-mers, by banded alignment, is `least` or more. Classes are what links reach.
-    A pair is left unaligned only if other links already put both texts in one class; so classes are those of all candidates,
-    while n_links counts the links found. Texts without words are alone. Rows with different texts are different documents, also if they share doc_id or have
-    none; a null doc_id is below all others, and a class that has one has a null class_id. An empty table gives an empty result.
-    Copies are summed before the shuffle and go on as one text. In a bucket each member is compared with all before it, by its
-    sketches and parities; a member has few candidates a round, so pairs grow with members.
+    that reach `least` among texts of up to FEW k-mers, by an index of their k-mers (none is missed). Candidates are linked if the
+    ordered share of common k-mers, by banded alignment, is `least` or more. Classes are what links reach. A pair is left unaligned
+    only if other links already put both texts in one class, so classes are those of all candidates. Texts without words are alone.
+    Rows with different texts are different documents, also if they share doc_id or have none; a null doc_id is below all others, and a
+    class that has one has a null class_id. An empty table gives an empty result.
+
+    Copies are summed before the shuffle and go on as one text. A bucket of more than BLOCK members is dealt into blocks. First each
+    member meets those of its own block; then only members that are not of the bucket's largest class by then (minor ones) visit the
+    other blocks. So a group of near copies costs links in proportion to members, and no task holds a bucket.
     """
     rows, known = text_classes(docs, least)
-    out = rows.select("did", "key").join(known.select("key", "class_id", "n_links"), "key", "left")
+    sizes = known.groupBy("label").agg(F.sum("copies").alias("class_size"))
+    out = rows.select("did", "key").join(known.join(sizes, "label").select("key", "class_id", "class_size"), "key", "left")
     null_id = lambda c: F.when(c != NO_ID, c)
-    return out.select(null_id(F.col("did")).alias("doc_id"), null_id(F.coalesce("class_id", "did")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return out.select(null_id(F.col("did")).alias("doc_id"), null_id(F.coalesce("class_id", "did")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
 
 
 def one_of_each(docs: DataFrame, *, least: float = 0.8) -> DataFrame:
@@ -356,57 +379,94 @@ def _keyed(batches):
 
 
 def text_classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """Rows (did, key) of docs, and for each text (key): its least did, class_id, whether it stands for its class (first), n_links."""
+    """Rows (did, key) of docs, and for each text (key): its copies, least did, label and class_id of its class, whether it stands for it (first)."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = materialize(rows.mapInArrow(_sketch(least), "did long, key binary, n int, sketches binary, few binary"), "sketches")
-    texts = rows.filter("key is not null").groupBy("key").agg(F.min("did").alias("least"), F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.first("few").alias("few"))
+    rows = materialize(rows.mapInArrow(_sketch(least), "did long, key binary, n int, marks binary, few binary"), "sketches")
+    texts = rows.filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("did").alias("least"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.first("few").alias("few"))
     # Each text is a node of its own, also where texts share a doc_id or have none.
     texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
-    members = texts.select("node", "n", "sketches", "few").mapInArrow(_explode, "bucket long, node long, n int, marks binary")
-    several = members.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("size > 1").drop("size").withColumn("label", F.col("node"))
-    links, labels, turn = None, None, 0
-    found = several.sortWithinPartitions("bucket", "node").mapInArrow(_pairs(turn, least), PAIRS)
+    members = texts.select("node", "marks", "few").mapInArrow(_explode, "bucket long, node long")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    several = members.join(sizes, "bucket").select("bucket", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("blk"))
+    several = materialize(several, "members")
+    marks = texts.select("node", "n", "marks")
+    own = several.join(marks, "node").select("bucket", F.col("blk").alias("unit"), F.lit(0).alias("part"), "node", "n", "marks", "blk", F.lit(False).alias("minor"))
+    labels = in_units(docs, own, texts, None, least, "home")
+    hot = several.filter("blocks > 1")
+    if labels is not None and hot.limit(1).count():
+        labels = in_units(docs, visitors(hot, labels).join(marks, "node"), texts, labels, least, "away")
+    alone = texts.select("key", "least", "copies", F.col("node").alias("label"))
+    if labels is None:
+        known = alone.withColumns({"class_id": F.col("least"), "first": F.lit(True)})
+    else:
+        linked = texts.join(labels, "node")
+        heads = linked.groupBy("label").agg(F.min(F.struct("least", "key")).alias("head"))
+        linked = linked.join(heads, "label").select("key", "least", "copies", "label", F.col("head.least").alias("class_id"), (F.col("head.key") == F.col("key")).alias("first"))
+        linked = materialize(linked, "linked")
+        known = alone.join(linked.select("key"), "key", "left_anti").withColumns({"class_id": F.col("least"), "first": F.lit(True)}).unionByName(linked)
+    return rows, materialize(known, "classes")
+
+
+def with_labels(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members with the label of their class; a text without links is a class of its own."""
+    if labels is None:
+        return members.withColumn("label", F.col("node"))
+    known = F.broadcast(labels) if labels.count() <= BROADCAST_LINKS else labels
+    return members.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def visitors(hot: DataFrame, labels: DataFrame) -> DataFrame:
+    """Units in which members of buckets of several blocks meet those of other blocks: bucket, unit, part, node, blk, minor.
+
+    Minor members are those outside the bucket's largest class. They visit all other blocks, in parts of about BLOCK; the members of a
+    block are at home in each part. A bucket of one class has no units.
+    """
+    own = materialize(with_labels(hot, labels), "hot")
+    counts = own.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).select("bucket", F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("parts"))
+    own = own.join(F.broadcast(most) if most.count() <= BROADCAST_LINKS else most, "bucket").filter("parts > 0").withColumn("minor", F.col("label") != F.col("top"))
+    home = own.select("bucket", F.col("blk").alias("unit"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "blk", "minor")
+    away = own.filter("minor").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("unit"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("part"), "node", "blk", "minor")
+    return materialize(home.unionByName(away.filter("unit <> blk")), "visitors")
+
+
+def in_units(docs: DataFrame, members: DataFrame, texts: DataFrame, labels: DataFrame | None, least: float, name: str) -> DataFrame | None:
+    """labels (node, label; None: no links) with the links that the members of units have among each other."""
+    turn, rows = 0, None
     while True:
-        found = materialize(found, f"pairs{turn}", ("kind",))
+        several = with_labels(members, labels).repartition(*UNIT).sortWithinPartitions(*UNIT, "node")
+        several = several.select("bucket", "unit", "part", "node", "n", "marks", "blk", "minor", "label")
+        found = several.mapInArrow(_pairs(turn, least, name == "away"), PAIRS)
+        found = materialize(found if rows is None else sized(found, rows, 2000), f"{name}{turn}", ("kind",))
+        pairs = found.filter("kind = 0").select("a", "b").distinct()
         n = found.filter("kind = 0").count()
         if n:
-            pairs = found.filter("kind = 0").select("a", "b").distinct()
-            if turn:
-                done = links.select("a", "b")
-                pairs = pairs.join(F.broadcast(done) if done.count() <= BROADCAST_LINKS else done, ["a", "b"], "left_anti")
-            new = materialize(aligned(docs, materialize(sized(pairs, n), f"new{turn}"), texts, least), f"links{turn}")
-            links = new if links is None else links.unionByName(new)
-            labels = components(new.filter("similarity > 0"), labels)
-        rest = found.filter("kind = 1")
-        n = rest.count()
-        if links is None or not n:
-            break
-        known = F.broadcast(labels) if labels.count() <= BROADCAST_LINKS else labels
-        several = rest.select("bucket", F.col("a").alias("node"), "n", "marks").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            links = materialize(aligned(docs, materialize(sized(pairs, n), f"{name}_pairs{turn}"), texts, least).filter("similarity > 0"), f"{name}_links{turn}")
+            if links.limit(1).count():
+                labels = components(links, labels)
+        members = found.filter("kind = 1").select(*[f.split()[0] for f in MEMBER.split(", ")])
+        rows = members.count()
+        if not rows:
+            return labels
         turn += 1
-        found = several.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_pairs(turn, least), PAIRS)
-        found = sized(found, n, 2000)
-    alone = [F.col("least").alias("class_id"), F.lit(True).alias("first")]
-    if links is None:
-        known = texts.select("key", "least", *alone, F.lit(0).cast("long").alias("n_links"))
-    else:
-        true = links.filter("similarity > 0").select("a", "b").distinct()
-        degree = true.select(F.col("a").alias("node")).union(true.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-        linked = texts.select("node", "least", "key").join(labels, "node")
-        classes = linked.groupBy("label").agg(F.min(F.struct("least", "key")).alias("head"))
-        heads = materialize(linked.join(classes, "label").join(degree, "node", "left").select("key", "least", F.col("head.least").alias("class_id"), (F.col("head.key") == F.col("key")).alias("first"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "heads")
-        known = texts.join(heads.select("key"), "key", "left_anti").select("key", "least", *alone, F.lit(0).cast("long").alias("n_links")).unionByName(heads)
-    return rows, materialize(known, "classes")
 
 
 def aligned(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """a, b, similarity (0 if under least) for pairs of texts, nodes (node, key, least); only their texts are moved."""
+    """a, b, similarity (0 if under least) for pairs of texts, nodes (node, key, least); only texts that can be theirs are moved.
+
+    Documents are first held against a table of SLOTS bits, which lets those pass whose id may be asked for; then joined by id and key.
+    """
     n = pairs.count()
-    few = F.broadcast if n <= BROADCAST_LINKS // 2 else (lambda df: df)
+    few = F.broadcast if n <= BROADCAST_LINKS else (lambda df: df)
     own = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     own = materialize(sized(nodes.select("node", "key", F.col("least").alias("did")).join(few(own), "node", "left_semi"), 2 * n), "nodes")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(few(own.select("did").distinct()), "did", "left_semi")
-    texts = texts.mapInArrow(_keyed, "did long, text string, _key binary").withColumnRenamed("_key", "key").join(few(own), ["did", "key"])
+    slot = F.shiftrightunsigned(F.xxhash64("did"), 64 - (SLOTS.bit_length() - 1))
+    word, bit = F.shiftright(slot, 6).cast("int"), slot.bitwiseAND(F.lit(63)).cast("int")
+    bits = own.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.withColumns({"word": word, "bit": bit}).join(F.broadcast(bits), "word").filter(F.call_function("shiftrightunsigned", F.col("bits"), F.col("bit")).bitwiseAND(F.lit(1)) == 1)
+    texts = texts.select("did", "text").mapInArrow(_keyed, "did long, text string, _key binary").withColumnRenamed("_key", "key").join(few(own), ["did", "key"])
     texts = materialize(texts.select("node", "text").dropDuplicates(["node"]), "pair_texts")
     one, two = texts.select(F.col("node").alias("a"), F.col("text").alias("one")), texts.select(F.col("node").alias("b"), F.col("text").alias("two"))
     both = one.join(few(pairs), "a").join(two, "b").select("a", "b", "one", "two")

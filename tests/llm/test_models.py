@@ -193,10 +193,12 @@ def test_near_duplicates(spark, monkeypatch):
     rows += [(900, None), (901, ""), (902, "two words"), (903, "Two  WORDS"), (904, "two other")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = classes_by_hand(rows)
-    for most in (neardup.AT_ONCE, 3):  # whole buckets, and split ones
-        monkeypatch.setattr(neardup, "AT_ONCE", most)
-        got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
-        assert got == want
+    for most in (neardup.BLOCK, 3):  # whole buckets, and split ones
+        monkeypatch.setattr(neardup, "BLOCK", most)
+        got = neardup.near_duplicates(df).collect()
+        assert {r["doc_id"]: r["class_id"] for r in got} == want
+        sizes = Counter(want.values())
+        assert all(r["class_size"] == sizes[r["class_id"]] for r in got)
 
 
 def test_near_duplicates_of_short_texts(spark):
@@ -218,7 +220,7 @@ def test_near_duplicates_behind_equal_sketches(spark, monkeypatch):
     rows = [(1, " ".join(base)), (2, " ".join(base[:301])), (3, " ".join(base[:242]))]
     labels = [neardup.labelled(h, np.zeros(len(h), np.int64)) for h in (of(t.split()) for _, t in rows)]
     assert (one == two).all() and not neardup.similarity(labels[0], labels[2], 0.8) and neardup.similarity(labels[1], labels[2], 0.8)
-    monkeypatch.setattr(neardup, "AT_ONCE", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 1)
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 1}
 
