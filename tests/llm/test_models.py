@@ -284,15 +284,15 @@ def test_vector_search(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     asked = [r for r in rows if r[0] % 50 == 0]
     q = df.filter("vec_id % 50 = 0")
-    for probe, least, part in ((1.0, 1.0, 4096), (0.7, 0.9, 16)):
-        monkeypatch.setattr(ann, "PART", part)
-        got = ann.search(df, q, k=10, centroids=8, probe=probe, min_probe=1).toPandas()
+    for miss, least, bucket in ((0.0, 1.0, 4096), (0.05, 0.9, 16)):
+        monkeypatch.setattr(ann, "BUCKET", bucket)
+        got = ann.search(df, q, k=10, centroids=8, miss=miss, max_train=400).toPandas()
         hits = 0
         for query in asked:
             own, want = got[got.query_id == query[0]].sort_values("rank"), best_by_hand(rows, query, 10)
             assert own["rank"].tolist() == list(range(1, 11))
             hits += len(set(own.vec_id) & {i for i, _ in want})
-            if probe == 1.0:
+            if not miss:
                 assert own.vec_id.tolist() == [i for i, _ in want] and np.allclose(own.score, [s for _, s in want], atol=1e-12)
         assert hits >= least * 10 * len(asked)
 
@@ -305,6 +305,34 @@ def test_traversal_is_in_order():
     assert sums == sorted(sums, reverse=True) and sorted(cells) == np.flatnonzero(counts.ravel()).tolist()
 
 
+def test_recall_of_the_query(spark):
+    """op1 with its own parameters against brute force in double precision."""
+    import pyarrow.parquet as pq
+
+    d = "/root/testdata/sf0.01"
+    t = pq.read_table(f"{d}/embeddings.parquet").to_pydict()
+    rows = [(i, v) for i, v in zip(t["vec_id"], t["embedding"], strict=True) if v and None not in v and np.isfinite(v).all() and any(v)]
+    got = ann.op1_ann_search(spark, d).toPandas()
+    asked = [r for r in rows if r[0] % 20 == 0]
+    assert sorted(set(got.query_id)) == sorted(i for i, _ in asked)
+    hits = 0
+    for query in asked:
+        own = got[got.query_id == query[0]].sort_values("rank")
+        want = dict(best_by_hand(rows, query, 20))
+        assert own["rank"].tolist() == list(range(1, 21)) and own.vec_id.is_unique
+        hits += len(set(own.vec_id) & set(want))
+        assert all(abs(want[i] - s) < 1e-12 for i, s in zip(own.vec_id, own.score, strict=True) if i in want)
+    assert hits >= 0.9 * 20 * len(asked)
+
+
+def test_vectors_in_double_precision_and_of_all_lengths(spark):
+    rows = [(1, [1.0, 1e-9]), (2, [1.0, 2e-9]), (3, [1e200, 1.0]), (4, [3.0]), (5, [2.0]), (6, [-1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).collect()
+    best = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got}
+    assert best[4, 1] == (5, 6.0) and best[4, 2] == (6, -3.0) and best[6, 1] == (5, -2.0)
+    assert best[1, 1] == (3, 1e200) and best[1, 2] == (2, 1.0 + 2e-18) and best[2, 2] == (1, 1.0 + 2e-18)
+
+
 def test_vector_search_odd(spark):
     bad = [(1, None), (2, [0.0, 0.0]), (3, [1.0, float("nan")]), (4, [1.0, None]), (5, [1.0, 2.0, 3.0]), (6, [1.0, 0.5]), (7, [0.5, 1.0]), (7, [0.5, 1.0]), (None, [1.0, 1.0]), (8, [float("inf"), 1.0]), (9, [])]
     df = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in bad], "vec_id long, embedding array<float>, cell int, bucket int, score int")
