@@ -198,3 +198,22 @@ def by_group(batches, *names: str):
 
     for key, group in itertools.groupby(rows(), key=lambda r: tuple(r[n] for n in names)):
         yield key, group
+
+
+def grouped(batches, names: list[str]):
+    """Groups of record batches that come sorted by the named long or int columns, as (key, table)."""
+    key, held = None, []
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(c).to_numpy() for c in names]
+        edges = np.flatnonzero(np.any([np.diff(c) != 0 for c in columns], axis=0)) + 1
+        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(batch)], strict=True):
+            now = tuple(int(c[start]) for c in columns)
+            if held and now != key:
+                yield key, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = now
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield key, pa.Table.from_batches(held).combine_chunks()

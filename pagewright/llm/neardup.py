@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from pagewright.llm.common import LOWER, chunked, materialize, mix64
+from pagewright.llm.common import LOWER, chunked, grouped, materialize, mix64
 from pagewright.llm.line_dedup import NO_ID
 from pagewright.llm.substrings import ODD, Hashes
 
@@ -214,7 +214,7 @@ def _pairs(turn: int, least: float, away: bool):
     hi = FIRST * MORE**turn
 
     def run(batches):
-        for (bucket, unit, _), own in units(batches, UNIT):
+        for (bucket, unit, _), own in grouped(batches, UNIT):
             node, n, label, blk = (own.column(c).to_numpy() for c in ("node", "n", "label", "blk"))
             minor = own.column("minor").to_numpy(zero_copy_only=False)
             sketch, bits = marks_of(own.column("marks"))
@@ -243,25 +243,6 @@ def _pairs(turn: int, least: float, away: bool):
     return run
 
 
-def units(batches, names: list[str]):
-    """Groups of record batches that come sorted by the named columns, as (key, table)."""
-    key, held = None, []
-    for batch in batches:
-        if not len(batch):
-            continue
-        columns = [batch.column(c).to_numpy() for c in names]
-        edges = np.flatnonzero(np.any([np.diff(c) != 0 for c in columns], axis=0)) + 1
-        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(batch)], strict=True):
-            now = tuple(int(c[start]) for c in columns)
-            if held and now != key:
-                yield key, pa.Table.from_batches(held).combine_chunks()
-                held = []
-            key = now
-            held.append(batch.slice(start, end - start))
-    if held:
-        yield key, pa.Table.from_batches(held).combine_chunks()
-
-
 def pair_rows(pairs: list[tuple[int, int]], members: pa.Table | None):
     """Record batches of PAIRS: found pairs, and the members of a unit that has more."""
     kinds = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "bucket": pa.int64(), "unit": pa.int32(), "part": pa.int32(), "node": pa.int64(), "n": pa.int32(), "marks": pa.binary(), "blk": pa.int32(), "minor": pa.bool_()}

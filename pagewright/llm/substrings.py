@@ -1,22 +1,23 @@
-"""Substring dedup: hashed windows of words, whose repeated ones give the repeated passages. No suffix tree is built: windows of
-one length are equal where its nodes at that depth would have two leaves or more, and nothing else of it is asked for."""
+"""Substring dedup by prefix-partitioned suffix trees: suffixes are dealt by a prefix of varying length, each group's tree is built from its
+sorted suffixes and their common prefixes, and its internal nodes of `window` words or more are the repeated passages."""
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import by_group, chunked, materialize, mix64, pack_docs, pack_sorted, unpack_docs, unpack_sorted
+from pagewright.llm.common import chunked, grouped, materialize, mix64, pack_docs, unpack_docs
 
-#: Text bytes of a chunk, keys of a group of suffixes, and groups at least (they also are the unit of parallel work).
-CHUNK, GROUP_KEYS, MIN_GROUPS = 8 << 20, 1_000_000, 64
-#: Bits of a prefix's key inside its group, for prefixes that only decide whether a longer one is looked at, and for the last.
-SHORT_BITS, FULL_BITS = 34, 64
+#: Text bytes of a chunk; suffixes of which a tree is built at once; suffixes that a prefix may have before it is lengthened.
+CHUNK, TREE, CROWDED = 8 << 20, 100_000, 1_000_000
+#: Words of the run by which a suffix is dealt, at least; suffixes of a stretch at most.
+RUN, LONGEST = 12, 60
 
-BLOCKS = "chunk string, grp int, round int, payload binary"
 ODD = 0x9E3779B97F4A7C15
 
 
@@ -27,185 +28,217 @@ class Hashes(dict):
 
 
 class Chunk:
-    """Words of a chunk's documents as hashes, end to end, and which suffixes are still internal."""
+    """Words of a chunk's documents, end to end."""
 
     def __init__(self, texts: list[bytes]):
-        self.words = [t.split() for t in texts]  # bytes.split() splits at [\x20\x09-\x0D]+
-        self.sizes = np.fromiter(map(len, self.words), np.int64, len(texts))
-        ends = np.cumsum(self.sizes)
-        n, memo = int(ends[-1]) if len(ends) else 0, Hashes()
-        self.hashes = np.fromiter((memo[w] for own in self.words for w in own), np.uint64, n)
-        self.left = np.repeat(ends, self.sizes) - np.arange(n)  # words from here to the document's end
-        self.alive, self.depth = np.ones(n, bool), 1
-
-    def suffixes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the suffixes that may share their first depth words with another, and the hash of these words."""
-        n = len(self.hashes)
-        if n < depth:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        run = np.concatenate([[0], np.cumsum(self.alive)])  # all shorter prefixes inside have to be shared, too
-        width = depth - self.depth + 1
-        full = np.zeros(n, bool)
-        full[: n - width + 1] = run[width:] - run[:-width] == width
-        at = np.flatnonzero(full & (self.left >= depth))
+        words = [t.split() for t in texts]  # bytes.split() splits at [\x20\x09-\x0D]+
+        self.sizes = np.fromiter(map(len, words), np.int64, len(texts))
+        self.words = list(itertools.chain.from_iterable(words))
+
+    def stretches(self, window: int, hash_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First start, number and prefix of each stretch: neighbouring suffixes of `window` words or more that are dealt together.
+
+        A suffix is dealt by the run of words with the least hash among the runs in its first `window` words, the first of them on ties;
+        so its prefix up to the end of that run decides, and equal windows have equal prefixes.
+        """
+        run = run_length(window)
+        n, memo = len(self.words), Hashes()
+        none = np.zeros(0, np.int64)
+        if n < window:
+            return none, none, none.astype(np.uint64)
+        hashes = np.fromiter(map(memo.__getitem__, self.words), np.uint64, n) & np.uint64((1 << hash_bits) - 1)
         with np.errstate(over="ignore"):
             power = np.cumprod(np.full(n, ODD, np.uint64))
             back = np.cumprod(np.full(n, pow(ODD, -1, 1 << 64), np.uint64))
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * power)])
-            return at, mix64((total[at + depth] - total[at]) * back[at] + np.uint64(depth))
-
-    def keys(self, depth: int, groups: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts; for each its place among the distinct (group, key) pairs; these pairs' groups and keys, sorted."""
-        at, h = self.suffixes(depth)
-        group = ((h >> np.uint64(40)) % np.uint64(groups)).astype(np.int64)
-        key = h if bits == 64 else h & np.uint64((1 << bits) - 1)
-        order = np.lexsort((key, group)) if bits == 64 else np.argsort((group.astype(np.uint64) << np.uint64(bits)) | key, kind="stable")
-        group, key = group[order], key[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
-        place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(new) - 1
-        return at, place, group[new], key[new]
-
-    def keep(self, depth: int, at: np.ndarray, shared: np.ndarray) -> None:
-        """From now on only the given starts, where shared, are internal to depth."""
-        self.alive, self.depth = np.zeros(len(self.hashes), bool), depth
-        self.alive[at[shared]] = True
-
-    def covered(self) -> np.ndarray:
-        """Words inside the first depth words of an internal suffix."""
-        step = np.zeros(len(self.hashes) + 1, np.int64)
-        at = np.flatnonzero(self.alive)
-        np.add.at(step, at, 1)
-        np.add.at(step, at + self.depth, -1)
-        return np.cumsum(step[:-1]) > 0
-
-
-def bits_of(depths, i: int) -> int:
-    return FULL_BITS if i == len(depths) - 1 else SHORT_BITS
-
-
-def replay(chunk: Chunk, answers: dict[tuple[int, int], bytes], depths, rounds: int, groups: int) -> None:
-    """Bring a chunk to the state after so many rounds; answers: shared flags by (round, group)."""
-    for i in range(rounds):
-        at, place, group, _ = chunk.keys(depths[i], groups, bits_of(depths, i))
-        flags = [np.unpackbits(np.frombuffer(answers[i, int(g)], np.uint8), count=int(n)) for g, n in zip(*np.unique(group, return_counts=True), strict=True)]
-        shared = np.concatenate(flags).astype(bool) if flags else np.zeros(0, bool)
-        chunk.keep(depths[i], at, shared[place])
-
-
-def blocks_of(name: str, chunk: Chunk, depths, i: int, groups: int):
-    """A row for each group: the distinct keys of its suffixes in this chunk, and which occur more than once here."""
-    at, place, group, key = chunk.keys(depths[i], groups, bits_of(depths, i))
-    many = np.bincount(place, minlength=len(key)) > 1
-    edges = np.searchsorted(group, np.arange(groups + 1))
-    for g in np.unique(group).tolist():
-        own = slice(edges[g], edges[g + 1])
-        flags = np.packbits(many[own]).tobytes()
-        yield name, g, i, len(flags).to_bytes(4, "little") + flags + pack_sorted(key[own])
-
-
-def table(rows) -> pa.RecordBatch:
-    rows = list(rows)
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.binary()))], names=["chunk", "grp", "round", "payload"])
-
-
-def build_subtree(batches):
-    """For each group: sort its suffixes' keys; a key of two leaves or more is an internal node. Flags go back by chunk."""
-    for (group, i), rows in by_group(batches, "grp", "round"):
-        names, keys, many = [], [], []
-        for r in rows:
-            n = int.from_bytes(r["payload"][:4], "little")
-            own = unpack_sorted(r["payload"][4 + n :])
-            names.append(r["chunk"])
-            keys.append(own)
-            many.append(np.unpackbits(np.frombuffer(r["payload"][4 : 4 + n], np.uint8), count=len(own)).astype(bool))
-        leaves = np.sort(np.concatenate(keys))
-        nodes = np.unique(leaves[1:][leaves[1:] == leaves[:-1]])
-        out = []
-        for name, own, twice in zip(names, keys, many, strict=True):
-            if len(nodes):
-                at = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
-                twice = twice | (nodes[at] == own)
-            out.append((name, group, i, np.packbits(twice).tobytes()))
-        yield table(out)
-
-
-def repeated_passages(docs: DataFrame, *, window: int = 35, depths: tuple[int, ...] = (12,)) -> DataFrame:
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power)])
+            runs = mix64((total[run:] - total[:-run]) * back[: n - run + 1])
+        bits = np.uint64(int(n).bit_length())
+        least = (runs >> bits << bits) | np.arange(len(runs), dtype=np.uint64)
+        wide, width = window - run + 1, 1
+        while 2 * width <= wide:
+            least = np.minimum(least[: len(least) - width], least[width:])
+            width *= 2
+        least = np.minimum(least[: len(least) - (wide - width)], least[wide - width :])
+        left = np.repeat(np.cumsum(self.sizes), self.sizes) - np.arange(n)  # words from here to the document's end
+        at = np.flatnonzero(left[: len(least)] >= window)
+        spot = (least[at] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        new = np.ones(len(at), bool)
+        new[1:] = (spot[1:] != spot[:-1]) | (at[1:] != at[:-1] + 1)
+        first = np.flatnonzero(new)
+        return at[first], np.diff(np.append(first, len(at))), runs[spot[first]]
+
+
+def run_length(window: int) -> int:
+    return min(window, max(RUN, window - LONGEST + 1))
+
+
+def tree(stretches: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes of `window` words of the stretches (words joined by a blank) in sorted order: the stretch and offset of each, how many words
+    it shares with the one before it (-1 for the first), and the number of its node: the deepest, of `window` words."""
+    number: dict[bytes, int] = {}
+    split = [x.split(b" ") for x in stretches]
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    ids = np.fromiter((number.setdefault(w, len(number)) for own in split for w in own), np.int64, int(sizes.sum())).astype(">u4")
+    n = sizes - window + 1
+    owner = np.repeat(np.arange(len(split)), n)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    start = np.repeat(np.cumsum(sizes) - sizes, n) + offset
+    suffixes = np.lib.stride_tricks.sliding_window_view(ids, window)[start]
+    order = np.argsort(np.ascontiguousarray(suffixes).view(f"V{4 * window}").ravel(), kind="stable")
+    suffixes = suffixes[order]
+    differs = suffixes[1:] != suffixes[:-1]
+    shared = np.concatenate([[-1], np.where(differs.any(axis=1), differs.argmax(axis=1), window)])[: len(order)]
+    return owner[order], offset[order], shared, np.cumsum(shared < window) - 1
+
+
+def repeated_passages(docs: DataFrame, *, window: int = 35, hash_bits: int = 64) -> DataFrame:
     """Documents without the words of passages of at least `window` words that occur more than once in the corpus.
 
     docs: doc_id, text; other columns are ignored. Words: [^\\x20\\x09-\\x0D]+, unchanged; null has none. A suffix starts at each
-    word. Its prefixes of depths[0], ... and at last `window` words are hashed; the hash deals suffixes to groups of about
-    GROUP_KEYS, so a group holds all copies of a prefix and fits in memory. A suffix alone in its prefix is a leaf and goes; others go
-    on with a longer prefix (so prefixes are as long as they have to be). Nodes at depth `window` with two leaves or more are
-    the deep internal nodes: every word in the first `window` words of such a suffix is removed, all copies alike.
+    word that has window - 1 after it. It is dealt by a prefix of RUN to `window` words: up to the end of the run of RUN words in it with
+    the least hash, which neighbouring suffixes mostly share, so they travel as one stretch of words. A prefix that the corpus has once
+    is a leaf and goes. A group is a prefix with all its suffixes: they are sorted by their words, neighbours' common prefixes give
+    the tree, and an internal node of `window` words or more is a passage that occurs again. A prefix with more than CROWDED suffixes is
+    lengthened to `window` words, where each group is one node, counted by its words. Every word in the first `window` words of a
+    suffix under such a node is removed, all copies alike. Hashes only choose what is compared; passages are equal by their words
+    (equal stretches by 128 bits of hash). hash_bits: bits of a word's hash that are used; fewer only cost time.
     Returns doc_id, n_words, n_removed, text (kept words joined by one space), spans (array of start and length, in words, of the
-    removed passages, which are maximal) per input row. Repeated rows are documents of their own, so they repeat each other.
-    Keys are distinct in a chunk before they are shuffled, so a hot passage is one row of a group per chunk. Keys in a last group
-    have 64 bits, besides the group: two different windows are taken for equal with a chance of keys / 2^64.
-    Memory is bounded by a chunk of documents (one document at least) and a group.
+    removed passages, which are maximal) per input row. Repeated rows are documents of their own, so they repeat each other. An empty
+    table gives an empty result.
+    Rows grow with words, not with chunks times groups. Equal stretches are one row for each chunk and then one in all, so a passage that
+    many documents share is not a large group. Memory is bounded by a chunk (one document at least) and by CROWDED suffixes.
     """
-    depths = (*[d for d in depths if d < window], window)
 
     def pack(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         for seq, (ids, texts) in enumerate(chunked(batches, CHUNK)):
-            n = sum(len(t.split()) for t in texts)
-            yield pa.RecordBatch.from_arrays([pa.array([f"{part}.{seq}"]), pa.array([n], pa.int64()), pa.array([pack_docs(ids, texts)], pa.binary())], names=["chunk", "n", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), pa.array([pack_docs(ids, texts)], pa.binary())], names=["chunk", "payload"])
 
-    chunks = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(pack, "chunk string, n long, payload binary")
+    chunks = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(pack, "chunk long, payload binary")
     chunks = materialize(chunks, "chunks")
-    total = chunks.agg(F.sum("n")).first()[0] or 0
-    groups = int(max(MIN_GROUPS, total // GROUP_KEYS + 1))
-    packed = chunks.select("chunk", F.lit(-1).alias("grp"), F.lit(-1).alias("round"), "payload")
-    answers = None
-    for i in range(len(depths)):
-        source = packed if answers is None else gather(packed, answers)
-        blocks = source.mapInArrow(emitter(depths, i, groups), BLOCKS)
-        found = blocks.repartition("grp").sortWithinPartitions("grp", "round").mapInArrow(build_subtree, BLOCKS)
-        found = materialize(found, f"round{i}")
-        answers = found if answers is None else answers.unionByName(found)
+    prefixes = materialize(chunks.mapInArrow(prefixes_of(window, hash_bits), "chunk long, prefix long, n int"), "prefixes")
+    inner = prefixes.groupBy("prefix").agg(F.sum("n").alias("all")).filter("all > 1").select("prefix")
+    inner = prefixes.select("chunk", "prefix").join(inner, "prefix")
+    stretches = gather(chunks, inner.select("chunk", "prefix")).mapInArrow(stretches_of(window, hash_bits), "chunk long, prefix long, key binary, n int, copies int, at array<int>, payload binary")
+    stretches = materialize(stretches, "stretches")
+    leaves = stretches.groupBy("key").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"), F.sum("copies").alias("copies"), F.first("payload").alias("payload"))
+    leaves = materialize(leaves, "leaves")
+    crowded = materialize(leaves.groupBy("prefix").agg(F.sum("n").alias("all")).filter(F.col("all") > CROWDED).select("prefix"), "crowded")
+    groups, found = leaves, []
+    if crowded.limit(1).count():
+        groups = leaves.join(crowded, "prefix", "left_anti")
+        found = [lengthened(leaves.join(crowded, "prefix", "left_semi"), window)]
+    groups = groups.repartition("prefix").sortWithinPartitions("prefix")
+    found = [groups.select("prefix", "key", "n", "copies", "payload").mapInArrow(nodes_of(window), "key binary, bits long"), *found]
+    found = stretches.select("chunk", "key", "n", "at").join(found[0] if len(found) == 1 else found[0].unionByName(found[1]), "key")
     out = "doc_id long, n_words long, n_removed long, text string, spans array<struct<start:int,len:int>>"
-    return gather(packed, answers).mapInArrow(finisher(depths, groups), out)
+    return gather(chunks, found.select("chunk", "at", "bits")).mapInArrow(without_repeats(window), out)
 
 
-def gather(packed: DataFrame, answers: DataFrame) -> DataFrame:
+def gather(chunks: DataFrame, answers: DataFrame) -> DataFrame:
     """A chunk's documents and all answers for it, side by side, the documents first."""
-    return packed.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", "round", "grp")
+    return chunks.unionByName(answers, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.col("payload").isNull())
+
+
+def prefixes_of(window: int, hash_bits: int):
+    """Each chunk's distinct prefixes, and how many stretches have them."""
+
+    def run(batches):
+        for batch in batches:
+            for name, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                _, _, prefix = Chunk(unpack_docs(payload.as_py())[1]).stretches(window, hash_bits)
+                own, n = np.unique(prefix, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), name)), pa.array(own.view(np.int64)), pa.array(n.astype(np.int32))], names=["chunk", "prefix", "n"])
 
+    return run
 
-def states(batches, depths, rounds: int, groups: int):
-    for (name,), rows in by_group(batches, "chunk"):
-        first = next(rows)
-        ids, texts = unpack_docs(first["payload"])
-        chunk = Chunk(texts)
-        replay(chunk, {(r["round"], r["grp"]): r["payload"] for r in rows}, depths, rounds, groups)
-        yield name, ids, chunk
 
+def stretches_of(window: int, hash_bits: int):
+    """Each chunk's distinct stretches with a prefix that is not a leaf, and where they start."""
 
-def emitter(depths, i: int, groups: int):
     def run(batches):
-        for name, _, chunk in states(batches, depths, i, groups):
-            yield table(blocks_of(name, chunk, depths, i, groups))
+        for (name,), own in grouped(batches, ["chunk"]):
+            inner = own.column("prefix").drop_null().to_numpy().view(np.uint64)
+            if not len(inner):
+                continue
+            chunk = Chunk(unpack_docs(own.column("payload")[0].as_py())[1])
+            first, n, prefix = chunk.stretches(window, hash_bits)
+            keep = np.isin(prefix, inner)
+            words, held = chunk.words, {}
+            for at, size, p in zip(first[keep].tolist(), n[keep].tolist(), prefix[keep].view(np.int64).tolist(), strict=True):
+                text = b" ".join(words[at : at + size + window - 1])
+                held.setdefault(xxhash.xxh3_128_digest(text), (p, size, text, []))[3].append(at)
+            if held:
+                p, size, text, spots = zip(*held.values(), strict=True)
+                columns = [pa.array(np.full(len(held), name)), pa.array(p, pa.int64()), pa.array(list(held), pa.binary()), pa.array(size, pa.int32()), pa.array(list(map(len, spots)), pa.int32()), pa.array(spots, pa.list_(pa.int32())), pa.array(text, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "prefix", "key", "n", "copies", "at", "payload"])
 
     return run
 
 
-def finisher(depths, groups: int):
+def nodes_of(window: int):
+    """For stretches sorted by prefix: key, and a bit for each suffix that is under a node of `window` words with two leaves or more."""
+
+    def nodes(keys: list[bytes], copies: list[int], texts: list[bytes]):
+        owner, offset, _, node = tree(texts, window)
+        leaves = np.bincount(node, weights=np.array(copies)[owner])
+        again = leaves[node] > 1
+        bits = np.zeros(len(keys), np.int64)
+        np.bitwise_or.at(bits, owner[again], np.int64(1) << offset[again])
+        hit = np.flatnonzero(bits)
+        return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit.tolist()], pa.binary()), pa.array(bits[hit])], names=["key", "bits"])
+
+    def run(batches):
+        held, size = [], 0  # whole prefixes, as many as make a tree of TREE suffixes
+        for _, own in grouped(batches, ["prefix"]):
+            n = int(own.column("n").to_numpy().sum())
+            if held and size + n > TREE:
+                yield nodes(*(sum(x, []) for x in zip(*held, strict=True)))
+                held, size = [], 0
+            held.append([own.column(c).to_pylist() for c in ("key", "copies", "payload")])
+            size += n
+        if held:
+            yield nodes(*(sum(x, []) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def lengthened(leaves: DataFrame, window: int) -> DataFrame:
+    """As nodes_of(), for prefixes that too many suffixes have: suffixes are dealt by all their `window` words and counted."""
+    words = F.split(F.col("payload").cast("string"), " ")
+    each = leaves.select("key", "copies", words.alias("words"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("offset"))
+    each = each.select("key", "copies", "offset", F.array_join(F.slice("words", F.col("offset") + 1, window), " ").alias("suffix"))
+    again = each.groupBy("suffix").agg(F.sum("copies").alias("leaves")).filter("leaves > 1").select("suffix")
+    return each.join(again, "suffix").groupBy("key").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("offset"))).alias("bits"))
+
+
+def without_repeats(window: int):
     def run(batches):
-        for _, ids, chunk in states(batches, depths, len(depths), groups):
-            gone = chunk.covered()
-            edges = np.concatenate([[0], np.cumsum(chunk.sizes)])
-            n_gone, texts, spans = [], [], []
-            for k, words in enumerate(chunk.words):
-                own = gone[edges[k] : edges[k + 1]]
+        for _, answers in grouped(batches, ["chunk"]):
+            ids, texts = unpack_docs(answers.column("payload")[0].as_py())
+            chunk = Chunk(texts)
+            rows = answers.filter(answers.column("bits").is_valid()).combine_chunks()
+            step = np.zeros(len(chunk.words) + 1, np.int64)
+            if len(rows):
+                spots = rows.column("at").chunk(0)
+                starts = spots.flatten().to_numpy()
+                bits = np.repeat(rows.column("bits").to_numpy(), np.diff(spots.offsets.to_numpy()))
+                for b in range(LONGEST):
+                    own = starts[(bits >> b) & 1 == 1] + b
+                    np.add.at(step, own, 1)
+                    np.add.at(step, own + window, -1)
+            gone = np.cumsum(step[:-1]) > 0
+            edges = np.concatenate([[0], np.cumsum(chunk.sizes)]).tolist()
+            n_gone, kept, spans = [], [], []
+            for a, b in itertools.pairwise(edges):
+                own, words = gone[a:b], chunk.words[a:b]
                 n_gone.append(int(own.sum()))
                 change = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
-                spans.append([{"start": int(a), "len": int(b - a)} for a, b in change.reshape(-1, 2)])
-                texts.append(b" ".join(w for w, x in zip(words, own.tolist(), strict=True) if not x) if n_gone[-1] else b" ".join(words))
-            columns = [pa.array(ids, pa.int64()), pa.array(chunk.sizes), pa.array(n_gone, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
+                spans.append([{"start": int(x), "len": int(y - x)} for x, y in change.reshape(-1, 2)])
+                kept.append(b" ".join(w for w, x in zip(words, own.tolist(), strict=True) if not x) if n_gone[-1] else b" ".join(words))
+            columns = [pa.array(ids, pa.int64()), pa.array(chunk.sizes), pa.array(n_gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
             columns.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32())]))))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "text", "spans"])
 

@@ -1,7 +1,9 @@
 import hashlib
+import itertools
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 from samples import ODD_TEXTS, prose
 
 from pagewright.llm import decontam, line_dedup, mixing, substrings
@@ -88,17 +90,31 @@ def passages_by_hand(rows, window):
     return out
 
 
-def test_substring_dedup(spark):
+def test_substring_dedup(spark, monkeypatch):
+    """Also over chunks of one document, with trees of one prefix, with crowded prefixes, and where nearly all hashes collide."""
     passage = prose("p", 60)
     rows = [(i, " ".join(prose(i, 30) + (passage[:45] if i % 3 == 0 else passage[15:] if i % 3 == 1 else []) + prose(-i - 1, 20))) for i in range(12)]
-    rows += [(20, "a " * 100), (21, " ".join(passage[:34])), (22, None), (23, ""), (None, " ".join(passage)), (24, "\n".join(passage[:36]))]
+    rows += [(20, "a " * 100), (21, " ".join(passage[:34])), (22, None), (23, ""), (None, " ".join(passage)), (24, "\n".join(passage[:36])), (25, "a b " * 90), (26, " ".join(prose("long", 3000)))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for window, depths in ((35, (12,)), (35, ()), (9, (2, 5)), (1, (12,))):
-        got = substrings.repeated_passages(df, window=window, depths=depths).collect()
+    for window, bits, chunk, most, crowded in ((35, 64, 1 << 20, 10**5, 10**6), (35, 2, 400, 10, 10**6), (35, 64, 400, 10, 20), (9, 64, 1 << 20, 10**5, 10**6), (1, 64, 400, 10, 5), (90, 64, 400, 10**5, 10**6)):
+        for name, value in (("CHUNK", chunk), ("TREE", most), ("CROWDED", crowded)):
+            monkeypatch.setattr(substrings, name, value)
+        got = substrings.repeated_passages(df, window=window, hash_bits=bits).collect()
         assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in got) == Counter(passages_by_hand(rows, window))
         assert all(sum(s["len"] for s in r["spans"]) == r["n_removed"] for r in got)
 
 
+def test_tree_of_suffixes():
+    texts = [b"a b c d e", b"b c d x", b"a b c y"]
+    owner, offset, shared, node = substrings.tree(texts, 3)
+    words = [x.split(b" ") for x in texts]
+    suffixes = [words[i][j : j + 3] for i, j in zip(owner, offset, strict=True)]
+    common = lambda x, y: next((k for k in range(3) if x[k] != y[k]), 3)
+    assert len(suffixes) == 7 and shared.tolist() == [-1, *(common(x, y) for x, y in itertools.pairwise(suffixes))]
+    for i, x in enumerate(suffixes):  # each node is one window, in neighbouring places
+        assert [k for k, y in enumerate(suffixes) if y == x] == np.flatnonzero(node == node[i]).tolist()
+
+
 def test_substring_dedup_odd(spark, odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     got = substrings.repeated_passages(odd_docs, window=2).collect()
