@@ -2,56 +2,149 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import itertools
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialize, text_bytes
+from pagewright.llm.common import materialize, mix64, text_bytes
+from pagewright.llm.substrings import ODD, Hashes
 
 #: Lower-cases A-Z and turns all that isn't in a word into a blank, on UTF-8 bytes: words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-#: Text bytes of items that are held in memory and sent to executors at once; larger benchmarks go in several blocks.
-BLOCK_BYTES = 32 << 20
+#: Text bytes of items that are held and sent to executors at once; larger benchmarks go in several blocks. A byte of text
+#: takes about 20 in a block's arrays and words.
+BLOCK_BYTES = 16 << 20
+#: Words of documents worked on at once, and candidate windows verified at once.
+BATCH_WORDS, CANDIDATES = 1_000_000, 200_000
+#: Bits of the table that most shingles are turned away by.
+SIEVE = 22
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
-def windows_of(items: list[tuple[str, bytes]], n: int) -> dict[tuple[bytes, ...], list[str]]:
-    """Each distinct window with the items that have it: n consecutive words, or all words of a shorter item (but not none)."""
-    out = defaultdict(set)
-    for item, text in items:
-        words = words_of(text)
-        if 0 < len(words) < n:
-            out[tuple(words)].add(item)
-        for i in range(len(words) - n + 1):
-            out[tuple(words[i : i + n])].add(item)
-    return {w: sorted(x) for w, x in out.items()}
-
-
-def shingles(words, k: int):
-    """All runs of k words, in order of their start."""
-    return zip(*[words[i:] for i in range(k)], strict=False)
-
-
-def occurrences(words: list[bytes], index: dict, lengths: list[int], verified: list[tuple]) -> list[tuple[int, int]]:
-    """(window, start) for each occurrence of a window. index: prefix shingle to (window, offset of it in the window).
-
-    Bounds on position and length come before the words are compared: the window has to fit at pos - offset.
-    """
-    found, n = [], len(words)
-    for k in lengths:
-        for pos, s in enumerate(shingles(words, k)):
-            if s in index:
-                for w, offset in index[s]:
-                    start, window = pos - offset, verified[w]
-                    if 0 <= start <= n - len(window) and tuple(words[start : start + len(window)]) == window:
-                        found.append((w, start))
-    return found
+def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k words, by its start."""
+    out = np.full(max(0, len(hashes) - k + 1), k, np.uint64)
+    for i in range(k):
+        out = mix64(out * np.uint64(ODD) + hashes[i : i + len(out)])
+    return out
+
+
+class Words:
+    """Words of several texts, end to end, and their hashes."""
+
+    def __init__(self, texts: list[bytes], memo: Hashes):
+        words = [words_of(t) for t in texts]
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.words = list(itertools.chain.from_iterable(words))
+        self.hashes = np.fromiter(map(memo.__getitem__, self.words), np.uint64, len(self.words))
+        self.text = np.repeat(np.arange(len(texts)), self.sizes)  # of each word
+        self.ends = np.cumsum(self.sizes)
+
+    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of runs of k words inside one text, and their hashes."""
+        h = shingle_hashes(self.hashes, k)
+        at = np.flatnonzero(np.arange(k, len(h) + k) <= self.ends[self.text[: len(h)]]) if len(h) else np.zeros(0, np.int64)
+        return at, h[at]
+
+
+class Lookup:
+    """Place of hashes in a sorted array of distinct ones."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.sieve = np.zeros(1 << SIEVE, bool)
+        self.sieve[keys >> np.uint64(64 - SIEVE)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are keys, and where."""
+        near = np.flatnonzero(self.sieve[hashes >> np.uint64(64 - SIEVE)])
+        at = np.searchsorted(self.keys, hashes[near])
+        hit = at < len(self.keys)
+        hit[hit] = self.keys[at[hit]] == hashes[near[hit]]
+        return near[hit], at[hit]
+
+
+class Block:
+    """Distinct windows of a block's items: where each has its words, its length, its items and its shingles."""
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int, shingle: int):
+        own = Words([t for _, t in items], Hashes())
+        self.names, self.words, self.hashes = [i for i, _ in items], own.words, own.hashes
+        length = np.minimum(own.sizes, window)
+        n = np.where(own.sizes > 0, own.sizes - length + 1, 0)
+        owner = np.repeat(np.arange(len(items)), n)
+        start = np.repeat(own.ends - own.sizes, n) + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        length = length[owner]
+        one, two = np.zeros(len(owner), np.uint64), np.zeros(len(owner), np.uint64)
+        for k in np.unique(length).tolist():
+            at = length == k
+            one[at] = shingle_hashes(own.hashes, k)[start[at]]
+            two[at] = shingle_hashes(mix64(own.hashes + np.uint64(1)), k)[start[at]]
+        order = np.lexsort((owner, two, one))
+        new = np.ones(len(order), bool)
+        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        self.start, self.length = start[order][new], length[order][new]
+        self.items, self.item_edges = owner[order], np.append(np.flatnonzero(new), len(order))
+        self.k = np.minimum(self.length, shingle)
+        self.lengths = np.unique(self.k).tolist()
+
+    def shingles(self):
+        """For each length k: the windows with shingles of k words, and their hashes, a row for each window."""
+        for size in np.unique(self.length).tolist():
+            at = np.flatnonzero(self.length == size)
+            k = int(self.k[at[0]])
+            h = shingle_hashes(self.hashes, k)
+            yield at, h[self.start[at][:, None] + np.arange(size - k + 1)]
+
+    def choose(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Take each window's rarest shingle by its count of documents; a window with one that no document has is left out."""
+        rarest, offset = np.zeros(len(self.start), np.uint64), np.full(len(self.start), -1)
+        for at, h in self.shingles():
+            n = counts[np.searchsorted(keys, h)]
+            best = np.lexsort((h, n), axis=1)[:, 0]
+            row = np.arange(len(at))
+            rarest[at], offset[at] = h[row, best], np.where(n[row, best] > 0, best, -1)
+        at = np.flatnonzero(offset >= 0)
+        at = at[np.argsort(rarest[at], kind="stable")]
+        keys, first = np.unique(rarest[at], return_index=True)
+        self.lookup, self.windows, self.offset = Lookup(keys), at, offset[at]
+        self.edges = np.append(first, len(at))
+
+    def occurrences(self, docs: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and the places in docs where they occur. Position and length are bounds before words are compared."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for k in self.lengths:
+            at, h = docs.shingles(k)
+            near, key = self.lookup.find(h)
+            at, n = at[near], np.diff(self.edges)[key]
+            several = np.cumsum(n)
+            for lo in range(0, int(several[-1]) if len(n) else 0, CANDIDATES):
+                hi = min(lo + CANDIDATES, int(several[-1]))
+                which = np.searchsorted(several, np.arange(lo, hi), side="right")
+                entry = self.edges[key[which]] + np.arange(lo, hi) - (several - n)[which]
+                window, start = self.windows[entry], at[which] - self.offset[entry]
+                length, text = self.length[window], docs.text[at[which]]
+                fits = (self.k[window] == k) & (start >= docs.ends[text] - docs.sizes[text]) & (start + length <= docs.ends[text])
+                window, start = window[fits], start[fits]
+                found += [x for size in np.unique(self.length[window]).tolist() if len((x := self.equal(docs, window, start, size))[0])]
+        return np.concatenate([w for w, _ in found]), np.concatenate([s for _, s in found])
+
+    def equal(self, docs: Words, window: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates of one length whose words are all equal: first by their hashes, then themselves."""
+        own = self.length[window] == size
+        window, start = window[own], start[own]
+        run = np.arange(size)
+        own = (docs.hashes[start[:, None] + run] == self.hashes[self.start[window][:, None] + run]).all(axis=1)
+        window, start = window[own], start[own]
+        own = [docs.words[s : s + size] == self.words[w : w + size] for s, w in zip(start.tolist(), self.start[window].tolist(), strict=True)]
+        return window[own], start[own]
 
 
 def item_blocks(items: DataFrame) -> tuple[DataFrame, int]:
@@ -72,91 +165,89 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, shingl
     prefix for full containment is one shingle: the rarest by its count of documents, over all documents. Documents are
     matched on that shingle, bounded by position and length, and compared word by word.
     Returns doc_id, text, n_words, n_hit (words inside any occurrence), items (sorted array of item ids as strings, each once)
-    and carried per input row. Null text has no words; no items, or no documents, is fine; repeated items count once by their id.
-    Items go to executors in blocks of about BLOCK_BYTES, each with two passes over the documents and no shuffle of texts; hits
-    of several blocks add up. Memory is bounded by a block, its windows and one document.
+    and carried per input row. Null text has no words; no items, or no documents, is fine; repeated items count once by their id; a
+    null item_id counts as the empty string.
+    Items go to executors in blocks of about BLOCK_BYTES as arrays of hashes and words, each with two passes over the documents and
+    no shuffle of texts; hits of several blocks add up. Memory is bounded by a block, BATCH_WORDS and one document.
     """
     spark = docs.sparkSession
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(True).alias("row"), *carry).alias("carried"))
     spans = "array<struct<start:int,len:int>>"
-    marked = kept.withColumn("spans", F.array().cast(spans)).withColumn("items", F.array().cast("array<string>"))
+    marked = kept.withColumn("spans", F.array().cast(spans)).withColumn("items", F.array().cast("array<string>")).withColumn("n_words", F.lit(0).cast("long"))
     blocked, blocks = item_blocks(items)
-    for block in range(blocks):
-        held = [(r["item"], r["text"].encode()) for r in blocked.filter(F.col("block") == block).select("item", "text").collect()]
-        windows = windows_of(held, window)
-        if not windows:
-            continue
-        keyed = {w: list(shingles(w, min(shingle, len(w)))) for w in windows}
-        counts = document_counts(kept, {s for own in keyed.values() for s in own})
-        verified, names, index = [], [], defaultdict(list)
-        for w, own in keyed.items():
-            offset = min(range(len(own)), key=lambda i: (counts.get(own[i], 0), own[i], i))
-            if counts.get(own[offset], 0):  # else no document has the shingle
-                index[own[offset]].append((len(verified), offset))
-                verified.append(w)
-                names.append(windows[w])
-        if not verified:
-            continue
-        if block:
-            marked = materialize(marked, f"block{block}")
-        sent = spark.sparkContext.broadcast((dict(index), sorted({len(s) for s in index}), verified, names))
-        marked = marked.mapInArrow(matcher(sent), marked.schema)
-    n_words = docs_words(F.col("text"))
+    for number in range(blocks):
+        held = [(r["item"], r["text"].encode()) for r in blocked.filter(F.col("block") == number).select("item", "text").collect()]
+        block = Block(held, window, shingle)
+        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h.ravel() for _, h in block.shingles())]))
+        block.choose(keys, document_counts(kept, keys, block.lengths) if len(keys) else np.zeros(0, np.int64))
+        if number:
+            marked = materialize(marked, f"block{number}")
+        marked = marked.mapInArrow(matcher(spark.sparkContext.broadcast(block)), marked.schema)
     ends = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["start"] + s["len"] - F.greatest(a["end"], s["start"]))).alias("n"), F.greatest(a["end"], s["start"] + s["len"]).alias("end")),
     )
-    return marked.select("doc_id", "text", n_words.alias("n_words"), ends["n"].cast("long").alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "carried")
+    return marked.select("doc_id", "text", "n_words", ends["n"].cast("long").alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "carried")
 
 
-def docs_words(text):
-    """Number of words of a text, as words_of() splits it."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+def in_runs(texts: list[bytes]):
+    """Texts as Words of about BATCH_WORDS at most, with the number of the first."""
+    memo, first, held, size = Hashes(), 0, [], 0
+    for i, text in enumerate(texts):
+        held.append(text)
+        size += len(text)
+        if size >= 6 * BATCH_WORDS or i == len(texts) - 1:
+            yield first, Words(held, memo)
+            first, held, size = i + 1, [], 0
+            if len(memo) > BATCH_WORDS:
+                memo.clear()
 
 
-def document_counts(docs: DataFrame, wanted: set[tuple[bytes, ...]]) -> dict[tuple[bytes, ...], int]:
-    """In how many documents each wanted shingle is, over all documents. Summed in each task, then by shingle."""
-    order = sorted(wanted)
-    sent = docs.sparkSession.sparkContext.broadcast(({s: i for i, s in enumerate(order)}, sorted({len(s) for s in order})))
+def document_counts(docs: DataFrame, keys: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """In how many documents each shingle is, over all documents. Summed in each task, then by shingle."""
+    sent = docs.sparkSession.sparkContext.broadcast(Lookup(keys))
 
     def run(batches):
-        import numpy as np
-
-        numbers, lengths = sent.value
-        total = np.zeros(len(numbers), np.int64)
-        get = numbers.get
+        total = np.zeros(len(sent.value.keys), np.int64)
         for batch in batches:
-            for text in text_bytes(batch.column(0)):
-                words, own = words_of(text), set()
+            for _, words in in_runs(text_bytes(batch.column(0))):
                 for k in lengths:
-                    own.update(map(get, shingles(words, k)))
-                own.discard(None)
-                if own:
-                    total[list(own)] += 1
+                    at, h = words.shingles(k)
+                    near, key = sent.value.find(h)
+                    pairs = np.unique(words.text[at[near]] * len(total) + key)
+                    total += np.bincount(pairs % len(total), minlength=len(total))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["s", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["s", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "s int, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()  # at most the block's shingles
-    return {order[r["s"]]: r["n"] for r in rows}
+    counts = np.zeros(len(keys), np.int64)
+    rows = docs.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).toArrow()  # at most the block's shingles
+    counts[rows.column("s").to_numpy()] = rows.column("n").to_numpy()
+    return counts
 
 
 def matcher(sent):
     def run(batches):
+        block = sent.value
         for batch in batches:
-            index, lengths, verified, names = sent.value
-            spans, items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            for i, text in enumerate(text_bytes(batch.column(1))):
-                if found := occurrences(words_of(text), index, lengths, verified):
-                    merged, end = list(spans[i]), None
-                    for start, length in sorted({(s, len(verified[w])) for w, s in found}):
-                        if end is not None and start <= end:
-                            merged[-1]["len"] = max(end, start + length) - merged[-1]["start"]
+            spans, items, n_words = batch.column(3).to_pylist(), batch.column(4).to_pylist(), np.zeros(len(batch), np.int64)
+            for first, docs in in_runs(text_bytes(batch.column(1))):
+                n_words[first : first + len(docs.sizes)] = docs.sizes
+                window, start = block.occurrences(docs)
+                text = docs.text[start]
+                base = (docs.ends - docs.sizes)[text]
+                order = np.lexsort((start, text))
+                for i, own in itertools.groupby(zip(text[order].tolist(), (start - base)[order].tolist(), window[order].tolist(), strict=True), key=lambda x: x[0]):
+                    merged, names = [], set()
+                    for _, at, w in own:
+                        length = int(block.length[w])
+                        if merged and at <= merged[-1]["start"] + merged[-1]["len"]:
+                            merged[-1]["len"] = max(merged[-1]["len"], at + length - merged[-1]["start"])
                         else:
-                            merged.append({"start": start, "len": length})
-                        end = merged[-1]["start"] + merged[-1]["len"]
-                    spans[i], items[i] = merged, sorted({*items[i], *(x for w, _ in found for x in names[w])})
-            columns = [*batch.columns[:3], pa.array(spans, batch.schema.field(3).type), pa.array(items, batch.schema.field(4).type)]
+                            merged.append({"start": at, "len": length})
+                        names.update(block.names[x] for x in block.items[block.item_edges[w] : block.item_edges[w + 1]].tolist())
+                    spans[first + i], items[first + i] = [*spans[first + i], *merged], sorted({*items[first + i], *names})
+            columns = [*batch.columns[:3], pa.array(spans, batch.schema.field(3).type), pa.array(items, batch.schema.field(4).type), pa.array(n_words)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return run

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import chunked, grouped, materialize, mix64, pack_docs, unpack_docs
 
 #: Text bytes of a chunk; suffixes of which a tree is built at once; suffixes that a prefix may have before it is lengthened.
-CHUNK, TREE, CROWDED = 8 << 20, 100_000, 1_000_000
+CHUNK, TREE, CROWDED = 4 << 20, 100_000, 1_000_000
 #: Words of the run by which a suffix is dealt, at least; suffixes of a stretch at most.
 RUN, LONGEST = 12, 60
 

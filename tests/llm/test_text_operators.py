@@ -151,6 +151,38 @@ def test_decontamination(spark, monkeypatch):
         assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got) == want
 
 
+def test_windows_in_small_runs(monkeypatch):
+    """Documents in runs of few words, candidates in steps of few, against a search of each window."""
+    monkeypatch.setattr(decontam, "CANDIDATES", 3)
+    monkeypatch.setattr(decontam, "BATCH_WORDS", 4)
+    items = [(str(i), " ".join(prose(f"run{i % 4}", 5 + 3 * i)).encode()) for i in range(6)] + [("7", b"the the the the"), ("8", b"the")]
+    texts = [" ".join(prose(f"run{i % 4}", 4 + 9 * i)).encode() for i in range(5)] + [b"", b"the " * 30]
+    block = decontam.Block(items, 6, 3)
+    keys = np.unique(np.concatenate([h.ravel() for _, h in block.shingles()]))
+    block.choose(keys, np.arange(1, len(keys) + 1))
+    seen, got = 0, set()
+    for first, docs in decontam.in_runs(texts):
+        assert first == seen
+        seen += len(docs.sizes)
+        for w, at in zip(*block.occurrences(docs), strict=True):
+            text = docs.text[at]
+            got |= {(first + int(text), int(at - (docs.ends - docs.sizes)[text]), block.names[x]) for x in block.items[block.item_edges[w] : block.item_edges[w + 1]]}
+    want = set()
+    for i, t in enumerate(texts):
+        for name, x in items:
+            own, words = x.split(), t.split()
+            size = min(6, len(own))
+            want |= {(i, k, name) for j in range(len(own) - size + 1) for k in range(len(words) - size + 1) if words[k : k + size] == own[j : j + size]}
+    assert seen == len(texts) and got == want
+
+
+def test_decontamination_of_a_long_text_and_odd_items(spark):
+    words = prose("long", 250_000)
+    bench = spark.createDataFrame([(None, " ".join(words[200_000:200_012]), 7, 8), ("", "no such words", 7, 8)], "item_id string, text string, block int, item int")
+    r = decontam.decontaminate(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), bench).first()
+    assert (r["n_words"], r["n_hit"], r["items"]) == (250_000, 12, [""])
+
+
 def test_decontamination_odd(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     got = {r["doc_id"]: r["n_hit"] for r in decontam.decontaminate(odd_docs, bench, carry=("lang",)).collect()}
