@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.llm.common import materialize
+
 #: Rows of the table of affix and n-gram weights, and lengths of the n-grams of ^word$ (those at an end are affixes).
 BUCKETS, SIZES = 1 << 16, (2, 3, 4)
 #: Words of a training sequence, of a run of one language in it at least, and words worked on at once when predicting.
@@ -61,6 +63,10 @@ class Features:
             out += np.where((model.lexicon[at] == self.whole)[:, None], model.lexicon_weights[at], 0.0)
         return out + model.bias
 
+    def familiar(self, model: Model) -> np.ndarray:
+        """Share of each word's n-grams that training words have."""
+        return np.add.reduceat(model.seen[self.rows].astype(float), self.start) / self.sizes if len(self.start) else np.zeros(0)
+
 
 class Model:
     """labels; weights of n-grams, of lexicon words (by sorted hash) and of labels; log transitions, one row for each label before."""
@@ -70,6 +76,8 @@ class Model:
         self.labels, self.lexicon = labels, lexicon
         self.weights, self.lexicon_weights = np.zeros((BUCKETS, n)), np.zeros((len(lexicon), n))
         self.bias, self.transitions = np.zeros(n), np.zeros((n, n))
+        self.seen = np.zeros(BUCKETS, bool)  # rows of n-grams that training words have
+        self.usual = 0.0  # familiar() of texts that weren't learned from, as half of the training texts show of the other half
 
     def parameters(self) -> list[np.ndarray]:
         return [self.weights, self.lexicon_weights, self.bias, self.transitions]
@@ -134,6 +142,8 @@ def train(rows: list[tuple[str, str]], *, rounds: int = 40, rate: float = 0.15,
     words = list(number)
     features, count = Features(words), np.bincount(ids.ravel(), minlength=len(words))
     model = Model(labels, np.unique(features.whole[count >= 3]))
+    model.seen[features.rows] = True
+    model.usual = usual([words_of(text) for text, _ in sorted(rows)], model)
     k, n = len(labels), ids.size
     flat, gold = ids.T.ravel(), truth.T.ravel()  # by position, then by sequence
     lengths = np.full(len(ids), SEQUENCE)
@@ -159,9 +169,21 @@ def train(rows: list[tuple[str, str]], *, rounds: int = 40, rate: float = 0.15,
     return model
 
 
+def usual(texts: list[list[str]], model: Model) -> float:
+    """Mean familiar() of the words of every other text, were only the rest learned from; 0 for one text."""
+    learned, other = ([w for words in texts[i::2] for w in words] for i in (0, 1))
+    if not learned or not other:
+        return 0.0
+    half = Model(model.labels, model.lexicon)
+    half.seen[Features(list(set(learned))).rows] = True
+    number = {w: i for i, w in enumerate(set(other))}
+    return float(Features(list(number)).familiar(half)[[number[w] for w in other]].mean())
+
+
 def label_texts(texts: list[str | None], model: Model | None):
-    """For each text: (label, mean posterior share of that label over its words), by forward-backward over the whole text."""
-    out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+    """For each text: (label, mean posterior share of that label over its words, by forward-backward over the whole text; mean share of
+    the words' n-grams that training words have)."""
+    out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, 0.0)] * len(texts)
     if model is None:
         return out
     held: list[tuple[int, list[str]]] = []
@@ -171,12 +193,12 @@ def label_texts(texts: list[str | None], model: Model | None):
             held.append((i, words))
             size += len(words)
         if size >= BATCH_WORDS or (held and i == len(texts) - 1):
-            for k, label, share in _label(held, model):
-                out[k] = (label, share)
+            for k, *got in _label(held, model):
+                out[k] = tuple(got)
             held, size = [], 0
     if held:
-        for k, label, share in _label(held, model):
-            out[k] = (label, share)
+        for k, *got in _label(held, model):
+            out[k] = tuple(got)
     return out
 
 
@@ -185,7 +207,8 @@ def _label(held, model: Model):
     lengths = np.fromiter((len(w) for _, w in held), np.int64, len(held))
     number: dict[str, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for _, words in held for w in words), np.int64, int(lengths.sum()))
-    scores = Features(list(number)).emissions(model)
+    features = Features(list(number))
+    scores = features.emissions(model)
     position = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     sequence = np.repeat(np.arange(len(held)), lengths)
     order = np.argsort(position, kind="stable")
@@ -193,8 +216,9 @@ def _label(held, model: Model):
     own = sequence[order]
     total = np.stack([np.bincount(own, weights=post[:, j], minlength=len(held)) for j in range(post.shape[1])], axis=1)
     best = total.argmax(axis=1)
-    for (i, _), b, share in zip(held, best.tolist(), (total[np.arange(len(held)), best] / lengths).tolist(), strict=True):
-        yield i, model.labels[b], min(1.0, share)
+    familiar = np.bincount(sequence, weights=features.familiar(model)[ids], minlength=len(held)) / lengths
+    for (i, _), b, share, known in zip(held, best.tolist(), (total[np.arange(len(held)), best] / lengths).tolist(), familiar.tolist(), strict=True):
+        yield i, model.labels[b], min(1.0, share), min(1.0, known)
 
 
 def is_held_out(doc_id, folds: int):
@@ -202,33 +226,36 @@ def is_held_out(doc_id, folds: int):
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % folds == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, *, folds: int = 5, max_docs: int = 800, max_doc_bytes: int = 64 << 10, max_labels: int = 64) -> Model | None:
+def fit(docs: DataFrame, *, folds: int = 5, max_docs: int = 800, max_doc_chars: int = 64 << 10) -> Model | None:
     """Fit a model to a bounded sample of the labelled training documents (doc_id, text, lang).
 
-    Training documents: crc32(doc_id as text) mod folds is not 0 and lang is not null. The sample has at most max_docs documents,
-    shared evenly by the max_labels most frequent labels, those first by a hash of doc_id, none above max_doc_bytes. It is what
-    reaches the driver. None if there is nothing to learn from.
+    Training documents: crc32(doc_id as text) mod folds is not 0, text and lang are not null. The sample has at most max_docs documents,
+    shared evenly by all labels, but one of each label at least; those come first by a hash of doc_id. Of a text above max_doc_chars
+    a run of that length is learned from, at a place chosen by the same hash. The sample is what reaches the driver. None if there is
+    nothing to learn from.
     """
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_doc_bytes) & ~is_held_out(F.col("doc_id"), folds))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).collect()
-    if not counts:
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"), folds))
+    counts = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("all")), "labels")
+    labels = counts.count()
+    if not labels:
         return None
-    quota = max(1, max_docs // len(counts))
+    quota = max(1, max_docs // labels)
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    wanted = F.lit(False)
-    for r in counts:
-        wanted = wanted | ((F.col("lang") == r["lang"]) & (spot < int(min(1.0, (2 * quota + 20) / r["count"]) * (1 << 30))))
+    near = rows.withColumn("spot", spot).join(counts, "lang").filter(F.col("spot") < F.least(F.lit(1.0), (2 * quota + 20) / F.col("all")) * (1 << 30))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("spot", "doc_id", F.xxhash64("text")))
-    sample = rows.filter(wanted).withColumn("spot", spot).withColumn("rank", first).filter(F.col("rank") <= quota)
-    return train([(r["text"], r["lang"]) for r in sample.select("text", "lang").collect()])
+    sample = near.withColumn("rank", first).filter(F.col("rank") <= quota)
+    extra = F.char_length("text") - max_doc_chars
+    run = F.when(extra > 0, F.substring("text", (F.col("spot") % (F.greatest(extra, F.lit(0)) + 1) + 1).cast("int"), F.lit(max_doc_chars))).otherwise(F.col("text"))
+    return train([(r["text"], r["lang"]) for r in sample.select(run.alias("text"), "lang").collect()])
 
 
 def identify(docs: DataFrame, model: Model | None, *, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Language of every whole text: doc_id, text, lang_pred, score and carried (a struct of the columns named in carry) per input row.
+    """Language of every whole text: doc_id, text, lang_pred, score, familiar and carried (a struct of the columns named in carry) per input row.
 
     docs: doc_id, text; no other column has an influence. Words are runs of letters, lower-cased; each gets the posterior shares of the labels from
-    forward-backward over the whole text; lang_pred is the label with the largest sum, score its mean share. Null, empty
+    forward-backward over the whole text; lang_pred is the label with the largest sum, score its mean share; familiar is the mean
+    share of the words' n-grams that training words have, which is low for noise and unlearned languages. Null, empty
     and letterless texts, and all without a model, are `und` with score 0. Any number of rows, repeated ones too, give as many.
     One pass without a shuffle; the model, of a size bounded by its parameters, goes to each executor. Memory is bounded by
     BATCH_WORDS, or one text.
@@ -238,10 +265,10 @@ def identify(docs: DataFrame, model: Model | None, *, carry: tuple[str, ...] = (
     def run(batches):
         for batch in batches:
             got = label_texts(batch.column(1).to_pylist(), sent.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["doc_id", "text", "carried", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _, _ in got], pa.string()), pa.array([x for _, x, _ in got], pa.float64()), pa.array([x for _, _, x in got], pa.float64())], names=["doc_id", "text", "carried", "lang_pred", "score", "familiar"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(True).alias("row"), *carry).alias("carried"))
-    return rows.mapInArrow(run, T.StructType(list(rows.schema.fields)).add("lang_pred", "string").add("score", "double"))
+    return rows.mapInArrow(run, T.StructType(list(rows.schema.fields)).add("lang_pred", "string").add("score", "double").add("familiar", "double"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

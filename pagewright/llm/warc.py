@@ -17,6 +17,8 @@ from pagewright.llm.common import materialize, scratch_path
 #: Bytes after which a task goes on in a new archive, gaps that a read bridges, and bytes that one read takes at most
 #: (a longer record is a read of its own).
 ARCHIVE_BYTES, GAP_BYTES, READ_BYTES = 256 << 20, 64 << 10, 8 << 20
+#: Bytes of records that a reading task has, about.
+TASK_BYTES = 32 << 20
 
 INDEX = "archive string, offset long, length long, url string, digest string, record_type string, page_id long"
 
@@ -136,12 +138,14 @@ def spans(ranges: list[tuple[int, int]]) -> list[tuple[int, int, list[tuple[int,
 def read_records(selected: DataFrame, folder: str, *, partitions: int | None = None) -> DataFrame:
     """Records of selected index rows (archive, offset, length): page_id, url, record_type, payload_digest, payload_bytes, refers_to, payload.
 
-    Rows are dealt by archive and block of READ_BYTES, so that a large archive is read by many tasks, and sorted by offset; each task
+    Rows are dealt by archive and block of READ_BYTES to as many tasks as have TASK_BYTES of records each, and sorted by offset; each task
     then joins neighbouring ranges into reads of READ_BYTES at most. A row given twice is returned once. The digest of a
     response is checked against its payload.
     """
     rows = selected.select("archive", F.floor(F.col("offset") / READ_BYTES).alias("block"), "offset", "length").distinct()
-    rows = rows.repartition(partitions, "archive", "block") if partitions else rows.repartition("archive", "block")
+    if partitions is None:
+        partitions = (rows.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES + 1
+    rows = rows.repartition(partitions, "archive", "block")
     rows = rows.sortWithinPartitions("archive", "offset")
     schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
     names = [x.split()[0] for x in schema.split(", ")]

@@ -150,6 +150,14 @@ def test_forward_backward_equals_all_paths():
     assert np.allclose(post, want / total) and np.allclose(pairs, both / total)
 
 
+def test_long_texts_and_many_labels_are_learned(spark):
+    rows = [(i, " ".join(prose(f"{i % 70}", 40)).replace("the", f"zz{chr(97 + i % 26)}{chr(97 + i % 70 // 26)}"), f"l{i % 70:02}") for i in range(280)]
+    rows += [(1000 + i, " ".join(w[::-1] for w in prose(i, 9000)), "long") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, max_docs=60, max_doc_chars=2000)
+    assert len(model.labels) == 71
+
+
 def test_language_id_odd(spark, odd_docs, no_docs):
     got = langid.identify(odd_docs, langid.fit(odd_docs), carry=("lang", "source")).collect()
     assert len(got) == odd_docs.count()
