@@ -194,7 +194,8 @@ def by_group(batches, *names: str):
 
     def rows():
         for batch in batches:
-            yield from batch.to_pylist()
+            for i in range(len(batch)):  # one at a time, as payloads can be large
+                yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
 
     for key, group in itertools.groupby(rows(), key=lambda r: tuple(r[n] for n in names)):
         yield key, group

@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import LOWER, KeyIndex, by_group, chunked, compress, decompress, distinct_counts, materialize, mix64, pack_docs, pack_sorted, unpack_docs, unpack_sorted
 from pagewright.llm.substrings import Hashes
 
-#: Text bytes of a chunk, positions worked on at once, keys of a group, and groups at least.
-CHUNK, BATCH, GROUP_KEYS, MIN_GROUPS = 12 << 20, 2 << 20, 1_000_000, 16
+#: Text bytes of a chunk, positions worked on at once, keys of a group (about), and groups at least and at most.
+CHUNK, BATCH, GROUP_KEYS, MIN_GROUPS, MAX_GROUPS = 12 << 20, 2 << 20, 1_000_000, 16, 4096
 #: End of a text: the byte that no word has, which also stands before a text.
 END = 10
 LN2, LN10 = math.log(2), math.log(10)
 
 BLOCKS = "chunk string, kind int, grp int, payload binary"
-GRAMS, WORDS, SUMS = 0, 1, 2
+GRAMS, WORDS = 0, 1
 
 
 # ---------------------------------------------------------------- the tree
@@ -208,11 +208,12 @@ def word_groups(keys: np.ndarray, groups: int) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    return compress(np.ascontiguousarray(counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    """Counts as byte planes: those that all counts leave empty take nothing."""
+    return compress(np.ascontiguousarray(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(decompress(data), np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32).astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(decompress(data), np.uint8).reshape(8, -1).T).reshape(-1).view(np.int64)
 
 
 def rows_batch(rows) -> pa.RecordBatch:
@@ -255,8 +256,9 @@ def score(docs: DataFrame, *, depth: int = 5, folds: int = 10) -> DataFrame:
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes (bytes scored), bits_per_byte per input row.
     An empty table gives an empty result; without training texts every decision has probability 1/2.
     Chunks send their distinct codes and words with counts; groups (all contexts that end in the same two bytes; words by
-    hash) add them up, compute their subtrees and send back one number per code. Only depths 0 and 1, at most 257 contexts, pass
-    through the driver. Memory is bounded by a chunk and by a group: the distinct codes behind two bytes.
+    hash; at most MAX_GROUPS) add them up, compute their subtrees and send back one number per code. Only depths 0 and 1, at most 257
+    contexts, pass through the driver. Memory is bounded by a chunk, and by the distinct codes of a group: chunks' blocks are summed
+    as they come, and answered one after another. All codes behind the same two bytes are in one group, 16 bytes each.
     """
     if not 2 <= depth <= 7:
         raise ValueError("depth is 2 to 7")
@@ -271,7 +273,7 @@ def score(docs: DataFrame, *, depth: int = 5, folds: int = 10) -> DataFrame:
     chunks = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(pack, "chunk string, n long, payload binary")
     chunks = materialize(chunks, "chunks")
     total = chunks.agg(F.sum("n")).first()[0] or 0
-    groups = int(max(MIN_GROUPS, total // 20 // GROUP_KEYS + 1))
+    groups = int(min(MAX_GROUPS, max(MIN_GROUPS, total // 20 // GROUP_KEYS + 1)))
 
     def emit(batches):
         for name, chunk, _ in each_chunk(batches, depth, folds):
@@ -283,57 +285,52 @@ def score(docs: DataFrame, *, depth: int = 5, folds: int = 10) -> DataFrame:
     packed = chunks.select("chunk", F.lit(-1).alias("kind"), F.lit(-1).alias("grp"), "payload")
     blocks = materialize(packed.mapInArrow(emit, BLOCKS), "blocks", ("kind",)).select("chunk", "kind", "grp", "payload")
 
-    def grouped(kind: int) -> DataFrame:
-        return blocks.filter(F.col("kind") == kind).repartition("grp").sortWithinPartitions("grp", "chunk")
-
-    words = materialize(grouped(WORDS).mapInArrow(count_words, BLOCKS), "words")
+    own = blocks.repartition("kind", "grp").sortWithinPartitions("kind", "grp")
+    merged = materialize(own.mapInArrow(merge_blocks, BLOCKS), "merged")
     known, n_train = 0, 0
-    for r in words.filter(F.col("kind") == SUMS).selectExpr("cast(payload as string) s").selectExpr("cast(split(s, ' ')[0] as long) v", "cast(split(s, ' ')[1] as long) n").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect():
+    for r in merged.filter(F.col("kind") == WORDS).mapInArrow(vocabulary_size, "v long, n long").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect():
         known, n_train = r["v"] or 0, r["n"] or 0
-    sums = grouped(GRAMS).mapInArrow(functools.partial(first_sums, depth=depth), "near int, payload binary")
+    sums = merged.filter(F.col("kind") == GRAMS).mapInArrow(functools.partial(first_sums, depth=depth), "near int, payload binary")
     sums = sums.repartition("near").sortWithinPartitions("near").mapInArrow(add_sums, "near int, payload binary")
     top = top_of({r["near"]: r["payload"] for r in sums.collect()})  # at most 256 rows of 4 KB
     sent = docs.sparkSession.sparkContext.broadcast(top)
-    grams = materialize(grouped(GRAMS).mapInArrow(answer_grams(sent, depth), BLOCKS), "grams")
-    answers = words.filter(F.col("kind") == WORDS).unionByName(grams)
+    asked = blocks.withColumn("asked", F.lit(1)).unionByName(merged.withColumn("asked", F.lit(0)))
+    asked = asked.repartition("kind", "grp").sortWithinPartitions("kind", "grp", "asked").drop("asked")
+    answers = materialize(asked.mapInArrow(answer(sent, depth), BLOCKS), "answers")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     side = packed.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", "kind", "grp")
     return side.mapInArrow(finish(depth, folds, groups, known, n_train), out)
 
 
-def count_words(batches):
-    """Training counts of each block's words over the whole corpus; a row of SUMS for each group: distinct words, tokens."""
-    for (group,), rows in by_group(batches, "grp"):
-        names, keys, counts = [], [], []
+def merge_blocks(batches):
+    """All keys of a group with their training counts, in one block; chunks' blocks are summed as they come."""
+    for (kind, group), rows in by_group(batches, "kind", "grp"):
+        held, sums, size, most = [], [], 0, 4 * GROUP_KEYS
         for r in rows:
             k, c = open_block(r["payload"])
-            names.append(r["chunk"])
-            keys.append(k)
-            counts.append(c)
-        own, total = merge(keys, counts)
-        yield rows_batch([("", SUMS, group, f"{int((total > 0).sum())} {int(total.sum())}".encode()), *((n, WORDS, group, pack_counts(np.minimum(total[np.searchsorted(own, k)], 2**32 - 1))) for n, k in zip(names, keys, strict=True))])
-
-
-def merged_blocks(rows):
-    """Blocks of a group: names, keys of each, and all keys with their training counts; merged as they come."""
-    names, packed, held, sums, size = [], [], [], [], 0
-    for r in rows:
-        k, c = open_block(r["payload"])
-        names.append(r["chunk"])
-        packed.append(r["payload"])
-        held.append(k)
-        sums.append(c)
-        size += len(k)
-        if size > 4 * GROUP_KEYS:
-            k, c = merge(held, sums)
-            held, sums, size = [k], [c], len(k)
-    return names, packed, *merge(held, sums)
+            held.append(k)
+            sums.append(c)
+            size += len(k)
+            if size > most:
+                k, c = merge(held, sums)
+                held, sums, size, most = [k], [c], len(k), max(4 * GROUP_KEYS, 2 * len(k))
+        keys, counts = merge(held, sums)
+        packed = pack_counts(counts)
+        yield rows_batch([("", kind, group, len(packed).to_bytes(4, "little") + packed + pack_sorted(keys))])
+
+
+def vocabulary_size(batches):
+    """Distinct words of training texts and their tokens, for each group."""
+    for _, rows in by_group(batches, "kind", "grp"):
+        for r in rows:
+            counts = open_block(r["payload"])[1]
+            yield pa.RecordBatch.from_arrays([pa.array([int((counts > 0).sum())]), pa.array([int(counts.sum())])], names=["v", "n"])
 
 
 def first_sums(batches, depth: int):
     """For each nearest byte: its counts by next byte, and for each decision the sum of log pw of the contexts of two bytes."""
     for _, rows in by_group(batches, "grp"):
-        _, _, keys, counts = merged_blocks(rows)
+        keys, counts = open_block(next(rows)["payload"])
         levels = subtree(keys, counts, depth)
         two, n2 = (keys, counts) if depth == 2 else functools.reduce(lambda x, _: shorter(*x), range(depth - 2), (keys, counts))
         one, n1 = shorter(two, n2)
@@ -369,17 +366,19 @@ def top_of(sums: dict[int, bytes]):
     return predict([one[1], one[0]], None)[1]
 
 
-def answer_grams(sent, depth: int):
-    """Log probability of each block's codes."""
+def answer(sent, depth: int):
+    """For each chunk's block, behind the merged block of its group: log probability of its codes, or training counts of its words."""
 
     def run(batches):
-        for (group,), rows in by_group(batches, "grp"):
-            names, packed, keys, counts = merged_blocks(rows)
-            made = predict(subtree(keys, counts, depth)[::-1], sent.value)[-1]
-            logs = log_probability(keys, made).astype(np.float32)
-            for name, payload in zip(names, packed, strict=True):
-                own = logs[np.searchsorted(keys, open_block(payload)[0])]
-                yield rows_batch([(name, GRAMS, group, compress(np.ascontiguousarray(own.view(np.uint8).reshape(-1, 4).T).tobytes(), 1))])
+        for (kind, group), rows in by_group(batches, "kind", "grp"):
+            keys, values = open_block(next(rows)["payload"])
+            if kind == GRAMS:
+                made = predict(subtree(keys, values, depth)[::-1], sent.value)[-1]
+                values = log_probability(keys, made).astype(np.float32)
+                del made
+            for r in rows:
+                own = values[np.searchsorted(keys, open_block(r["payload"])[0])]
+                yield rows_batch([(r["chunk"], kind, group, pack_counts(own) if kind == WORDS else compress(np.ascontiguousarray(own.view(np.uint8).reshape(-1, 4).T).tobytes(), 1))])
 
     return run
 
