@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,11 @@ CHUNK_BYTES = 24 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); where that is unset, a temporary one in one process, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
