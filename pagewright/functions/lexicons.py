@@ -88,7 +88,7 @@ OTHER_WIDTH = 0.55
 # Glyphs that fonts lack, and what is printed for them.
 GLYPHS = {
     "’": "'", "‘": "'", "‚": ",", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "«": '"', "»": '"', "‹": "'", "›": "'", "ʼ": "'", "ʹ": "'", "ʻ": "'", "ˈ": "'",
-    "′": "'", "″": '"', "‴": "'''", "–": "-", "—": "-", "‒": "-", "―": "-", "−": "-", "‐": "-", "‑": "-", "\u00ad": "-", "\u00a0": " ", "\u202f": " ", "\u2003": " ", "\u2002": " ", "\u2009": " ", "\u200b": "", "\u2007": " ", "\ufeff": "", "…": "...", "‧": ".", "·": ".", "•": "-", "◦": "-", "▪": "-", "▫": "-", "∙": ".", "⋅": ".", "∗": "*", "※": "*", "⁂": "*", "⁕": "*",
+    "′": "'", "″": '"', "‴": "'''", "–": "-", "—": "-", "‒": "-", "―": "-", "−": "-", "‐": "-", "‑": "-", "\u00ad": "-", "\u00a0": " ", "\u202f": " ", "\u2003": " ", "\u2002": " ", "\u2009": " ", "\u200a": " ", "\u200b": "", "\u2007": " ", "\ufeff": "", "…": "...", "‧": ".", "·": ".", "•": "-", "◦": "-", "▪": "-", "▫": "-", "∙": ".", "⋅": ".", "∗": "*", "※": "*", "⁂": "*", "⁕": "*",
     "→": "->", "←": "<-", "↑": "^", "↓": "v", "↔": "<->", "↕": "^v", "⇒": "=>", "⇐": "<=", "⇑": "^^", "⇓": "vv", "⇔": "<=>", "⇕": "^^vv",
     "²": "2", "³": "3", "¹": "1", "⁰": "0", "⁴": "4", "⁵": "5", "⁶": "6", "⁷": "7", "⁸": "8", "⁹": "9", "₀": "0", "₁": "1", "₂": "2", "₃": "3", "₄": "4",
     "¼": "1/4", "½": "1/2", "¾": "3/4", "⅓": "1/3", "⅔": "2/3", "⅕": "1/5", "⅖": "2/5", "⅗": "3/5", "⅘": "4/5", "⅙": "1/6", "⅚": "5/6", "⅛": "1/8", "⅜": "3/8", "⅝": "5/8", "⅞": "7/8",
@@ -114,12 +114,17 @@ COLOURS = """inox|chrome|chrome poli|chrome brosse|chrome mat|noir|blanc|gris|be
 
 # Spec categories by words in the key; the first that matches counts.
 SPEC_CATEGORIES = [
-    ("TECHNIQUE", "mati(è|e)re|material|materia|m(é|e)canisme|mechanism|meccanismo|d(é|e)bit|flow|pression|pressure|druck|presion|temp(é|e)rature|norme|standard|certif|energy|raccord|fitting|alim|power|cartouche|cartridge"),
-    ("DIMENSIONS", "longueur|length|longitud|lunghezza|comprimento|laenge|l(ä|a)nge|diam(è|e)tre|diameter|diametro|durchmesser|hauteur|height|altura|altezza|h(ö|o)he|largeur|width|anchura|larghezza|breite|profondeur|depth|tiefe|(é|e)paisseur|thickness"),
-    ("FINITION", "coloris|finition|finish|couleur|color|colour|farbe|colore|aspect|aspecto|texture|textur|acabado|acabamento|finitura"),
-    ("GARANTIE", "garantie|warranty|garant[ií]a|garanzia|dur(é|e)e|duration|durata|duracao|dauer|durability|service"),
-    ("CONDITIONNEMENT", "conditionnement|emballage|packaging|embalaje|embalagem|imballaggio|verpackung|carton|karton|cartone|caja|caixa|bo[iî]te|box|scatola|coque|blister"),
+    ("TECHNIQUE", """mati(è|e)re|material|materia|m(é|e)canisme|mechanism|meccanismo|m(é|e)ca\\b|d(é|e)bit|flow|pression|pressure|druck|presion|temp(é|e)rature|temperature
+|norme|standard|certif|(é|e)nerg(é|e)tique|energy|(é|e)nergi|raccord|fitting|alim|power|cartouche|cartridge"""),
+    ("DIMENSIONS", """longueur|length|longitud|lunghezza|comprimento|laenge|l(ä|a)nge|diam(è|e)tre|diameter|diametro|durchmesser|hauteur|height|altura|altezza|h(ö|o)he
+|largeur|width|anchura|larghezza|breite|profondeur|depth|profundidad|profondit|tiefe|(é|e)paisseur|thickness|espesor|spessore|dicke|taille|size|tama|format
+|capacit|capacity|capacidad|capacita|encombrement|entr(é|e)es?\\s+axes"""),
+    ("FINITION", "coloris|finition|finish|couleur|color|colour|farbe|cor\\b|colore|aspect|aspecto|texture|textur|oberfl(ä|a)che|acabado|acabamento|finitura"),
+    ("GARANTIE", "garantie|warranty|garant[ií]a|garanzia|dur(é|e)e|duration|durata|duracao|duraci(ó|o)n|dauer|durabilit|durability|sav\\b|service"),
+    ("CONDITIONNEMENT", """conditionnement|emballage|packaging|embalaje|embalagem|imballaggio|verpackung|condit\\.?|nature.*conditionnement|carton|karton|cartone|caja|caixa
+|bo[iî]te|box|scatola|coque|blister"""),
 ]
+SPEC_CATEGORIES = [(name, words.replace("\n", "")) for name, words in SPEC_CATEGORIES]
 
 
 def accent_table() -> tuple[str, str]:

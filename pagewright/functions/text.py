@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 
 from pyspark.sql import Column
@@ -175,11 +177,14 @@ def looks_like_legal_notice(x: Column) -> Column:
 
 def page_keyword(x: Column) -> Column:
     """Kind of a page by the phrases in its text: toc, glossaire or tech; null if none."""
-    low = F.lower(strip_accents(x))
-    out = F.lit(None).cast("string")
-    for kind, phrases in reversed(L.PAGE_KEYWORDS.items()):
-        out = F.when(low.rlike("|".join(phrases)), kind).otherwise(out)
-    return out
+    def kind_of(low: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for kind, phrases in reversed(L.PAGE_KEYWORDS.items()):
+            out = F.when(functools.reduce(operator.or_, (F.contains(low, F.lit(p)) for p in phrases)), kind).otherwise(out)
+        return out
+
+    # The folded text is bound once, and phrases are sought as plain text.
+    return F.transform(F.array(F.lower(strip_accents(x))), kind_of)[0]
 
 
 def text_width(x: Column, size: Column) -> Column:

@@ -6,8 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A side up to this size is sent to all executors.
-BROADCAST_ROWS = 200_000
 #: Lengths of the pieces by which texts that contain one another meet.
 PIECES = (3, 5, 8, 16, 32)
 
@@ -43,9 +41,12 @@ def in_interval(points: DataFrame, ranges: DataFrame, keys: list[str], at: str,
 def next_after(df: DataFrame, keys: list[str], value: str, out: str, gap: float = 0.0) -> DataFrame:
     """The least value of the group that is more than `gap` above a row's own: a forward as-of join of the table with itself, as one
     window over the values, without a join."""
-    # A range frame is inclusive; the smallest step above gap makes it strict.
-    over = f"partition by {', '.join(keys)} order by {value} range between {gap + 1e-9!r} following and unbounded following"
-    return df.withColumn(out, F.expr(f"min({value}) over ({over})"))
+    if gap:
+        over = f"partition by {', '.join(keys)} order by {value} range between {gap + 1e-9!r} following and unbounded following"
+        return df.withColumn(out, F.expr(f"min({value}) over ({over})"))
+    # A range frame is inclusive; over dense ranks the next one is strictly above, at any size of the values.
+    ranked = df.withColumn("_r", F.dense_rank().over(Window.partitionBy(*keys).orderBy(value)))
+    return ranked.withColumn(out, F.min(value).over(Window.partitionBy(*keys).orderBy("_r").rangeBetween(1, Window.unboundedFollowing))).drop("_r")
 
 
 def covered_share(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> Column:
@@ -100,22 +101,22 @@ def match_tiers(products: DataFrame, assets: DataFrame, key: str, name: str, ass
     return p.select(key).join(exact.unionByName(near).select(key, "best.asset", "best.tier"), key, "left")
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Distinct tokens of a that equal, start or continue a token of b, over the smaller number of distinct tokens; 0 if either has none."""
-    da, db = F.array_distinct(a), F.array_distinct(b)
-    common = F.size(F.filter(da, lambda x: F.exists(db, lambda y: x.startswith(y) | y.startswith(x))))
-    return F.when((F.size(da) == 0) | (F.size(db) == 0), 0.0).otherwise(common / F.least(F.size(da), F.size(db)))
-
-
 def infer_section(products: DataFrame, labels: DataFrame, key: str, tokens: str, label: str, label_tokens: str, order: str, least: float = 0.25) -> DataFrame:
     """key, label, score: the label whose tokens overlap most, the first on ties; null under `least`.
 
-    Labels meet names through shared beginnings of tokens (3 letters, as shorter tokens don't count), not pair by pair.
+    Overlap: distinct tokens of the name that equal, start or continue a token of the label, over the smaller number of distinct tokens of
+    both. Distinct tokens of names meet those of labels once, by their first 3 letters (shorter tokens don't count); names then find
+    labels through their own tokens and count, so no arrays of tokens are moved or compared.
     """
-    start = lambda t: F.array_distinct(F.transform(t, lambda x: F.substring(x, 1, 3)))
-    p = products.select(key, F.col(tokens).alias("_a"))
-    q = labels.select(F.col(label).alias("label"), F.col(label_tokens).alias("_b"), F.col(order).alias("_o"))
-    met = p.withColumn("_s", F.explode(start(F.col("_a")))).join(q.withColumn("_s", F.explode(start(F.col("_b")))), "_s").select(key, "label", "_o", "_a", "_b").dropDuplicates([key, "_o"])
-    scored = met.withColumn("score", overlap(F.col("_a"), F.col("_b"))).filter(F.col("score") >= least)
-    best = scored.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "_o"))).filter("_r = 1").select(key, "label", "score")
+    p = products.select(key, F.array_distinct(tokens).alias("_a"))
+    q = labels.select(F.col(label).alias("label"), F.array_distinct(label_tokens).alias("_b"), F.col(order).alias("_o"))
+    words = q.select("_o", F.explode("_b").alias("_u"))
+    named = p.select(key, F.size("_a").alias("_n"), F.explode("_a").alias("_t"))
+    start = lambda c: F.substring(c, 1, 3).alias("_s")
+    pairs = named.select("_t").distinct().select("_t", start("_t")).join(words.select("_u").distinct().select("_u", start("_u")), "_s")
+    pairs = pairs.filter(F.col("_t").startswith(F.col("_u")) | F.col("_u").startswith(F.col("_t"))).select("_t", "_u")
+    found = pairs.join(words, "_u").select("_t", "_o").distinct()
+    met = named.join(found, "_t").groupBy(key, "_n", "_o").agg(F.count(F.lit(1)).alias("_c"))
+    scored = met.join(q.select("_o", "label", F.size("_b").alias("_m")), "_o").withColumn("score", F.col("_c") / F.least("_n", "_m")).filter(F.col("score") >= least)
+    best = scored.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "_o", "label")).alias("_best")).select(key, F.col("_best.label").alias("label"), (-F.col("_best.s")).alias("score"))
     return p.select(key).join(best, key, "left")

@@ -17,6 +17,8 @@ SECTION_HEADERS = [
     r"ZUBEHÖR|OPTIONEN?|EIGENSCHAFTEN|TIPPS?|MERKMALE|PRODUKTINFO|TECHNISCHE\s+DATEN",
     r"ACCESORIOS?|OPCIONES?|CARACTER[ÍI]STICAS|VENTAJAS|CONSEJOS?|DETALLES|INCLUIDO",
 ]
+# Openings of catalogue subtitles, which may go on within the word.
+SUBTITLES = r"POMPES?\s+(?:D\S|DE\s+|POUR\s+|À\s+)|AUTRE\s+POMPES?|APR[ÉE]S[-\s]VENTE|FORMATIONS?|AGR[ÉE]+|EAUX\s+(?:CLAIRES?|CHARG[ÉE]ES?|GRISES?|NOIRES?|US[ÉE]ES?)|GROUPES?\s+DE\s+(?:SURPRESSION|FILTRATION)"
 
 
 def flipped(left: Column, bottom: Column, right: Column, top: Column, height: Column) -> Column:
@@ -34,7 +36,8 @@ def has_dot_leader(x: Column) -> Column:
 
 
 def is_section_header(x: Column) -> Column:
-    return F.coalesce(F.upper(trim(x)).rlike(f"(?iu)^(?:{'|'.join(SECTION_HEADERS)})(?=$|[^A-Z])"), F.lit(False))
+    upper = F.upper(trim(x))
+    return F.coalesce(upper.rlike(f"(?iu)^(?:{'|'.join(SECTION_HEADERS)})(?=$|[^A-Z])") | upper.rlike(f"(?iu)^(?:{SUBTITLES})"), F.lit(False))
 
 
 def slot_type(text: Column, size: Column, width: float, height: float) -> Column:

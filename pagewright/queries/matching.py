@@ -21,7 +21,7 @@ def q_asset_match(spark, d):
 
 
 ASSET_SQL = """
-WITH p AS (SELECT p_partkey, p_name, lower(p_name) AS c, regexp_replace(strip_accents(lower(p_name)), '[^a-z0-9]+', '', 'g') AS cn FROM part WHERE p_partkey % 7 = 0),
+WITH p AS (SELECT p_partkey, p_name, lower(p_name) AS c, regexp_replace(strip_accents(lower(p_name)), '[^a-z0-9]+', '', 'g') AS cn FROM part),
 a AS (SELECT stem, min(p_partkey) AS ord FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN lower(p_name) WHEN 1 THEN lower(p_name) || '-v2' WHEN 2 THEN replace(lower(p_name), ' ', '_') WHEN 3 THEN 'img ' || lower(p_name) ELSE substr(p_name, 1, 5) END AS stem FROM p) GROUP BY 1),
 b AS (SELECT stem, ord, lower(stem) AS b, regexp_replace(strip_accents(lower(stem)), '[^a-z0-9]+', '', 'g') AS bn FROM a),
 t AS (SELECT p_partkey, stem, ord, CASE WHEN c = b THEN 1 WHEN strip_accents(c) = b THEN 2 WHEN starts_with(b, c) THEN 3 WHEN contains(b, c) THEN 4 WHEN length(b) >= 4 AND contains(c, b) THEN 5

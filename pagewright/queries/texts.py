@@ -15,32 +15,24 @@ from pagewright.queries import sql
 from pagewright.queries.carriers import lines, table
 
 
-def first_line():
-    return F.split("text", "\n", -1)[0]
-
-
-FIRST_SQL = "string_split(text, chr(10))[1]"
-
-
 def q_strip_accents(spark, d):
     return table(spark, d, "documents").select("doc_id", X.strip_accents(F.col("text")).alias("plain"))
 
 
 def q_normalize_section(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.normalize_section(first_line()).alias("section_key"))
+    return lines(spark, d).select("doc_id", "pos", X.normalize_section(F.col("line")).alias("section_key"))
 
 
 def q_slugify(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.slugify(first_line()).alias("slug"))
+    return lines(spark, d).select("doc_id", "pos", X.slugify(F.col("line")).alias("slug"))
 
 
 HEADERS = ["538_Longueur", "100 Matiere", "DEB_PRESS", "dim", "Temp MAX", "Ref-fournisseur", "Nb bacs", "QTE", "Finition", "vol surf"]
 
 
 def q_humanize_key(spark, d):
-    heads = spark.createDataFrame([(i, h) for i, h in enumerate(HEADERS)], "header_id long, header string")
-    brands = table(spark, d, "part").select("p_brand").distinct()
-    return heads.join(F.broadcast(brands)).select("header_id", "p_brand", X.humanize_key(F.concat_ws(" ", "header", "p_brand")).alias("printed"))
+    brands = table(spark, d, "part").select("p_brand").distinct().select("p_brand", F.posexplode(F.array(*map(F.lit, HEADERS))).alias("header_id", "header"))
+    return brands.select(F.col("header_id").cast("long").alias("header_id"), "p_brand", X.humanize_key(F.concat_ws(" ", "header", "p_brand")).alias("printed"))
 
 
 def humanize_sql() -> str:
@@ -159,7 +151,16 @@ def width_sql(x: str) -> str:
 
 
 def q_wrap_words(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.wrap_words(first_line(), 200.0, 9.0).alias("wrapped"))
+    return lines(spark, d).select("doc_id", "pos", X.wrap_words(F.col("line"), 200.0, 9.0).alias("wrapped"))
+
+
+#: Words are added to the line while it fits; the width of a line is that of its words and the blanks between them.
+WRAP_SQL = f"""
+WITH w AS (SELECT doc_id, pos, list_filter(regexp_split_to_array(trim(line), '\\s+'), lambda x: x <> '') AS words FROM {sql.LINES}),
+k AS (SELECT doc_id, pos, list_transform(words, lambda x: {{'x': x, 'w': (9.0 * ({width_sql('x')}))::DOUBLE, 'lines': []::VARCHAR[]}}) AS words FROM w),
+r AS (SELECT doc_id, pos, list_reduce(words, lambda a, b: CASE WHEN a.w + 2.7 + b.w <= 200.0 THEN {{'x': a.x || ' ' || b.x, 'w': a.w + 2.7 + b.w, 'lines': a.lines}}
+  ELSE {{'x': b.x, 'w': b.w, 'lines': list_append(a.lines, a.x)}} END, {{'x': '', 'w': 1000000.0::DOUBLE, 'lines': []::VARCHAR[]}}) AS r FROM k)
+SELECT doc_id, pos::INTEGER AS pos, CASE WHEN r.w = 1000000.0 THEN [] ELSE list_append(r.lines, r.x)[2:] END AS wrapped FROM r"""
 
 
 def q_safe_text(spark, d):
@@ -218,7 +219,7 @@ def q_spec_category(spark, d):
     return table(spark, d, "part").groupBy(X.spec_category(heads).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-CATEGORY_HEADS = ["Matière", "LONGUEUR", "Coloris", "Garantie", "Packaging", "Poids net", "Débit", "Box size", "höhe"]
+CATEGORY_HEADS = ["Matière", "LONGUEUR", "Coloris", "Garantie", "Packaging", "Poids net", "Débit", "Box size", "höhe", "Taille", "Capacity", "SAV", "Oberfläche", "Entrées  axes", "Nature du conditionnement", "Méca", "cor", "Corps"]
 CATEGORY_SQL = f"""SELECT CASE {' '.join(f"WHEN regexp_matches(lower(h), {sql.quote(p)}) THEN {sql.quote(n)}" for n, p in L.SPEC_CATEGORIES)} ELSE 'AUTRES' END AS category, count(*) AS n
 FROM (SELECT [{', '.join(map(sql.quote, CATEGORY_HEADS))}][(p_partkey % {len(CATEGORY_HEADS)} + 1)::INT] AS h FROM part) GROUP BY 1"""
 
@@ -228,13 +229,28 @@ def q_normalize_value(spark, d):
     return table(spark, d, "part").select("p_partkey", normalize_values(value).alias("value"))
 
 
-VALUE_TAILS = ["cm", "x80x30", " KHZ", "m²", " a 12 bar", "E+02 cm", "kg", "-60cm", " ANS", "lb"]
+#: Units apart from their number, then capitals as usual; both lists are those of the rule, in the order of a search.
+VALUE_UNITS = "mm|cm|dm(?:[²³])|km|ml|cl|dl|kg|mg|bar|psi|kw|mw|ka|ma|khz|mhz|ghz|hz|db|nm|lm|lux|an|mois|jour|inch|°|[mlgthswvan]\\b|min\\b|in\\b|ft\\b|yd\\b|lb\\b|oz\\b|gal\\b"
+VALUE_USUAL = "KHZ kHz MHZ MHz GHZ GHz HZ Hz CM cm MM mm KM km KG kg MG mg ANS ans AN an MOIS mois BAR bar L l G g KW kw V v A a LB lb".split()
+
+
+def value_sql() -> str:
+    v = "CASE WHEN regexp_matches(v, 'E\\+02') THEN (p_size * 100)::BIGINT || regexp_replace(v, '^.*E\\+02', '') ELSE v END"
+    v = f"regexp_replace({v}, {sql.quote(f'([0-9])({VALUE_UNITS})')}, '\\1 \\2', 'gi')"
+    for shouted, usual in zip(VALUE_USUAL[::2], VALUE_USUAL[1::2], strict=True):
+        v = f"regexp_replace({v}, '([0-9]\\s+){shouted}\\b', '\\1{usual}', 'g')"
+    v = f"regexp_replace(regexp_replace({v}, '([0-9])\\s+a\\s+([0-9])', '\\1 à \\2', 'g'), 'Ø([0-9])', 'Ø \\1', 'g')"
+    v = f"regexp_replace(regexp_replace({v}, '([0-9])\\s*([xX×])\\s*([0-9])', '\\1 \\2 \\3', 'g'), '\\s{{2,}}', ' ', 'g')"
+    return f"SELECT p_partkey, {v} AS value FROM (SELECT p_partkey, p_size, p_size || [{', '.join(map(sql.quote, VALUE_TAILS))}][(p_partkey % {len(VALUE_TAILS)} + 1)::INT] AS v FROM part)"
+
+
+VALUE_TAILS = ["cm", "x80x30", " KHZ", "m²", " a 12 bar", "E+02 cm", "kg", "-60cm", " ANS", "lb", "dm³", " MHZ", "x2 MOIS", "°C"]
 
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 ORACLES = {
     "q_strip_accents": "SELECT doc_id, strip_accents(text) AS plain FROM documents",
-    "q_normalize_section": f"SELECT doc_id, {sql.section(FIRST_SQL)} AS section_key FROM documents",
-    "q_slugify": f"SELECT doc_id, regexp_replace(regexp_replace(strip_accents(lower({sql.spell(FIRST_SQL, L.SLUG_TRANSLITERATION)})), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents",
+    "q_normalize_section": f"SELECT doc_id, pos::INTEGER AS pos, {sql.section('line')} AS section_key FROM {sql.LINES}",
+    "q_slugify": f"SELECT doc_id, pos::INTEGER AS pos, regexp_replace(regexp_replace(strip_accents(lower({sql.spell('line', L.SLUG_TRANSLITERATION)})), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM {sql.LINES}",
     "q_humanize_key": humanize_sql(),
     "q_clean_value": f"SELECT doc_id, pos::INTEGER AS pos, {CLEAN[0]} FROM (SELECT doc_id, pos, {CLEAN[1]} AS v FROM {sql.LINES})",
     "q_split_multi": SPLIT_SQL,
@@ -253,4 +269,6 @@ ORACLES = {
     "q_json_props": "SELECT event_type, count(props->>'$.k') AS n_k, sum((props->>'$.k')::INT)::BIGINT AS sum_k FROM events GROUP BY event_type",
     "q_key_style": STYLE_SQL,
     "q_spec_category": CATEGORY_SQL,
+    "q_wrap_words": WRAP_SQL,
+    "q_normalize_value": value_sql(),
 }

@@ -14,13 +14,14 @@ raw_paths array<struct<bbox: array<double>, fill_color: string>>, extractor_vers
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Extracted pages, in file order (page_ord), with the reason where a page can't be used (refused)."""
+    """Extracted pages, in file order within their folder (page_ord), with the reason where a page can't be used (refused). A folder is a
+    catalogue, so numbering is a task for each of them."""
     from pyspark.sql import Window
 
     rows = spark.read.schema(PAGE).option("multiLine", "true").option("mode", "PERMISSIVE").option("pathGlobFilter", "page-*.json").json(path)
-    rows = rows.select("*", F.col("_metadata.file_name").alias("file"))
+    rows = rows.select("*", F.col("_metadata.file_name").alias("file"), F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/", 1).alias("folder"))
     refused = F.when(F.col("_corrupt_record").isNotNull(), "not JSON").when(F.col("page_number").isNull(), "no page number").when(F.coalesce(F.col("page_size.width") <= 0, F.lit(True)), "no page size")
-    return rows.withColumn("refused", refused).withColumn("page_ord", F.row_number().over(Window.orderBy("file"))).drop("_corrupt_record")
+    return rows.withColumn("refused", refused).withColumn("page_ord", F.row_number().over(Window.partitionBy("folder").orderBy("file"))).drop("_corrupt_record")
 
 
 def box(b):

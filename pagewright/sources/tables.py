@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -31,8 +32,10 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def sniffed(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """path, encoding, delimiter, text (decoded, from the header row on) for delimited files; those over MAX_BYTES are left out."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).filter(F.col("length") <= MAX_BYTES)
+    """path, encoding, delimiter, text (decoded, from the header row on) for delimited files; one over MAX_BYTES is an error."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    refused = F.raise_error(F.concat("path", F.lit(f" has more than {MAX_BYTES} bytes"))).cast("binary")
+    raw = raw.withColumn("content", F.when(F.col("length") <= MAX_BYTES, F.col("content")).otherwise(refused))
     texts = raw.select("path", text_encoding(F.col("content")).alias("encoding"), decoded(F.col("content")).alias("text"))
     top = best(delimiter_scores(texts, "path"), ["path"], [F.desc("score"), F.asc("rank")]).select("path", F.when(F.col("score") > 0, F.col("delimiter")).otherwise(",").alias("delimiter"))
     rows = texts.join(top, "path", "left").withColumn("delimiter", F.coalesce("delimiter", F.lit(",")))
@@ -40,19 +43,33 @@ def sniffed(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """Cells of delimited files in long form: path, row_idx (from 0), col_idx, header, value. Blank rows go; short rows give nulls."""
-    rows = sniffed(spark, path, glob)
-    quote = F.lit('"')
-    lines = rows.select("path", "delimiter", F.posexplode(F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != "")).alias("line_no", "line"))
-    inside = F.concat(F.lit(r"(?:^|"), F.concat(F.lit("["), F.col("delimiter"), F.lit("]")), F.lit(r')("(?:[^"]|"")*"|[^'), F.col("delimiter"), F.lit(r"]*)"))
-    cells = F.transform(F.regexp_extract_all("line", inside, F.lit(1)), lambda c: F.trim(F.when(c.startswith('"') & c.endswith('"') & (F.length(c) > 1), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.concat(quote, quote), quote)).otherwise(c)))
-    parsed = lines.select("path", "line_no", cells.alias("cells"))
-    heads = parsed.filter("line_no = 0").select("path", F.col("cells").alias("headers"))
-    body = parsed.filter(f"line_no > 0 AND line_no <= {MAX_ROWS}").join(heads, "path")
-    long = body.select("path", (F.col("line_no") - 1).alias("row_idx"), F.posexplode("headers").alias("col_idx", "header"), "cells")
+    """Cells of delimited files in long form: path, row_idx (from 0), col_idx, header, value. Quoted cells may hold delimiters, quotes and
+    line breaks. Blank rows go; short rows give nulls; repeated headers are numbered. MAX_ROWS rows or more are an error. A file is
+    read by one task."""
+    parsed = sniffed(spark, path, glob).select("path", "delimiter", "text").mapInPandas(_records, "path string, row_idx int, headers array<string>, cells array<string>")
+    long = parsed.select("path", "row_idx", F.posexplode("headers").alias("col_idx", "header"), "cells")
     return long.select("path", "row_idx", "col_idx", "header", F.get("cells", F.col("col_idx")).alias("value"))
 
 
+def _records(files):
+    import pandas as pd
+
+    columns = ["path", "row_idx", "headers", "cells"]
+    for batch in files:
+        for path, delimiter, text in batch.itertuples(index=False):
+            rows = ([c.strip() for c in r] for r in csv.reader(io.StringIO(text or "", newline=""), delimiter=delimiter))
+            rows = (r for r in rows if any(r))
+            headers, held = unique_headers(next(rows, [])), []
+            for i, cells in enumerate(rows):
+                if i + 1 >= MAX_ROWS:
+                    raise ValueError(f"{path} has {MAX_ROWS} rows or more")
+                held.append((path, i, headers, cells))
+                if len(held) == 10_000:
+                    yield pd.DataFrame(held, columns=columns)
+                    held = []
+            yield pd.DataFrame(held, columns=columns)
+
+
 # ---------------------------------------------------------------- workbooks
 
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
@@ -68,8 +85,8 @@ def column_number(reference: str) -> int:
     return n - 1
 
 
-def workbook_rows(data: bytes) -> Iterator[tuple[str, bool, int, list[str]]]:
-    """(sheet, hidden, row number, cells) of a workbook: dates as days, formulas by their value, errors and blanks as ''."""
+def workbook_rows(data: bytes) -> Iterator[tuple[int, str, bool, int, list[str]]]:
+    """(place of the sheet, sheet, hidden, row number, cells) of a workbook: dates as days, formulas by their value, errors and blanks as ''."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         shared = []
@@ -81,7 +98,7 @@ def workbook_rows(data: bytes) -> Iterator[tuple[str, bool, int, list[str]]]:
             own = {int(f.get("numFmtId")) for f in styles.iterfind(".//m:numFmt", NS) if re.search("[ymd]{2}", f.get("formatCode", ""))} | DATE_FORMATS
             dated = {i for i, x in enumerate(styles.iterfind("m:cellXfs/m:xf", NS)) if int(x.get("numFmtId", 0)) in own}
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iterfind("m:sheets/m:sheet", NS):
+        for place, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iterfind("m:sheets/m:sheet", NS)):
             target = targets[sheet.get(f"{{{NS['r']}}}id")].lstrip("/")
             tree = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
             for number, row in enumerate(tree.iterfind(".//m:row", NS)):
@@ -91,7 +108,7 @@ def workbook_rows(data: bytes) -> Iterator[tuple[str, bool, int, list[str]]]:
                     cells += [""] * (at - len(cells) + 1)
                     cells[at] = cell_text(c, shared, dated)
                 if any(x.strip() for x in cells):
-                    yield sheet.get("name"), sheet.get("state", "visible") != "visible", number, cells
+                    yield place, sheet.get("name"), sheet.get("state", "visible") != "visible", number, cells
 
 
 def cell_text(cell, shared: list[str], dated: set[int]) -> str:
@@ -111,14 +128,14 @@ def cell_text(cell, shared: list[str], dated: set[int]) -> str:
 
 
 class WorkbookSource(DataSource):
-    """spark.read.format("workbook").load(path): path, sheet, hidden, row_idx, cells for each row that isn't blank. One task a file."""
+    """spark.read.format("workbook").load(path): path, sheet_no, sheet, hidden, row_idx, cells for each row that isn't blank. One task a file."""
 
     @classmethod
     def name(cls) -> str:
         return "workbook"
 
     def schema(self) -> str:
-        return "path string, sheet string, hidden boolean, row_idx int, cells array<string>"
+        return "path string, sheet_no int, sheet string, hidden boolean, row_idx int, cells array<string>"
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return WorkbookReader(self.options.get("path", ""))
@@ -140,8 +157,8 @@ class WorkbookReader(DataSourceReader):
         fs, _ = opened(self.path)
         with fs.open_input_file(partition.value) as f:
             data = f.read()
-        for sheet, hidden, number, cells in workbook_rows(data):
-            yield partition.value, sheet, hidden, number, cells
+        for row in workbook_rows(data):
+            yield partition.value, *row
 
 
 def opened(uri: str):
@@ -160,20 +177,21 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
 
 def product_sheet(rows: DataFrame) -> DataFrame:
     """Cells of the best sheet of each workbook in long form (path, sheet, row_idx, col_idx, header, value): the sheet with most rows, by its
-    name; the header is the first of five rows with three filled cells."""
+    name, the first on ties; the header is the first of five rows with three filled cells, and repeated headers are numbered."""
     from pyspark.sql import Window
 
     from pagewright.operators.ingest import sheet_score
 
     order = Window.partitionBy("path", "sheet").orderBy("row_idx")
     rows = rows.withColumn("n", F.row_number().over(order) - 1)
-    sheets = rows.groupBy("path", "sheet", "hidden").agg(F.count(F.lit(1)).alias("rows"), F.min(F.when((F.col("n") < 5) & (F.size(F.filter("cells", lambda c: F.trim(c) != "")) >= 3), F.col("n"))).alias("head"))
-    top = best(sheets.withColumn("score", sheet_score(F.col("sheet"), F.col("rows"), F.col("hidden"))), ["path"], [F.desc("score"), F.asc("sheet")]).select("path", "sheet", F.coalesce("head", F.lit(0)).alias("head"))
+    sheets = rows.groupBy("path", "sheet_no", "sheet", "hidden").agg(F.count(F.lit(1)).alias("rows"), F.min(F.when((F.col("n") < 5) & (F.size(F.filter("cells", lambda c: F.trim(c) != "")) >= 3), F.col("n"))).alias("head"))
+    top = best(sheets.withColumn("score", sheet_score(F.col("sheet"), F.col("rows"), F.col("hidden"))), ["path"], [F.desc("score"), F.asc("sheet_no")]).select("path", "sheet", F.coalesce("head", F.lit(0)).alias("head"))
     own = rows.join(top, ["path", "sheet"])
     heads = own.filter("n = head").select("path", "sheet", F.col("cells").alias("headers"))
+    named = F.udf(unique_headers, "array<string>")("headers")  # one row a workbook
+    heads = heads.withColumn("headers", named)
     body = own.filter("n > head").join(heads, ["path", "sheet"])
-    named = F.transform("headers", lambda h, i: F.when(F.trim(h) != "", F.trim(h)).otherwise(F.concat(F.lit("Col"), (i + 1).cast("string"))))
-    long = body.select("path", "sheet", (F.col("n") - F.col("head") - 1).alias("row_idx"), F.posexplode(named).alias("col_idx", "header"), "cells")
+    long = body.select("path", "sheet", (F.col("n") - F.col("head") - 1).alias("row_idx"), F.posexplode("headers").alias("col_idx", "header"), "cells")
     return long.select("path", "sheet", "row_idx", "col_idx", "header", F.get("cells", F.col("col_idx")).alias("value"))
 
 
@@ -229,5 +247,3 @@ def asset_index(names: DataFrame) -> DataFrame:
     bare = rows.withColumn("plain", strip_accents(F.col("stem"))).filter("plain <> stem").select("path", "base", F.col("plain").alias("stem"), "kind")
     return rows.unionByName(bare.join(rows.select("stem", "kind"), ["stem", "kind"], "left_anti"))
 
-
-__all__ = ["files", "sniffed", "read_delimited", "read_workbook", "product_sheet", "list_archives", "asset_index", "unique_headers"]

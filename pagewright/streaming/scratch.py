@@ -1,7 +1,8 @@
-"""Folders of streams: the cluster's shared folder, a temporary one only where none is set."""
+"""Folders of streams: the cluster's shared folder; a temporary one only in one process, where none is set."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: streams need a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}/{name}"

@@ -63,3 +63,30 @@ def test_normalize_value(raw):
 def test_complete_phrase():
     assert complete_phrase("Robinet mitigeur pour la cuisine", 22) == "Robinet mitigeur"
     assert complete_phrase("abc,", 10) == "abc" and complete_phrase(None, 5) is None
+
+
+def test_values_written_out():
+    want = {"5E-3": "0.005", "1.5E-1 kg": "0.15 kg", "3e-7": "3e-7", "1.23E+05": "123000", "2.5e10": "25000000000", "1.1e-5": "0.000011", "AB1E2": "AB1E2", "1e400": "1e400", "1e21": "1e+21"}
+    want |= {"70cm": "70 cm", "Ø22mm": "Ø 22 mm", "10ANS": "10 ans", "1 a 5bar": "1 à 5 bar", "85°F": "85 °F", "5dm²": "5 dm²", "100 MHZ": "100 MHz", "5 MW": "5 mW", "3 KW": "3 kw", "60x40x30": "60 x 40 x 30", "10-20cm": "10-20 cm"}
+    want |= {"incrémental": "incrémental", "5mé": "5 mé", "٣cm": "٣cm", "  Inox    chrome ": "Inox chrome", "8 ANNÉES": "8 années", "5min": "5 min", "5mine": "5mine", "": ""}
+    assert {k: normalize_value(k) for k in want} == want
+
+
+def test_categories_written_out(spark):
+    want = {"Taille": "DIMENSIONS", "Capacity": "DIMENSIONS", "Profundidad": "DIMENSIONS", "Épaisseur": "DIMENSIONS", "Spessore": "DIMENSIONS", "Dicke": "DIMENSIONS", "Encombrement": "DIMENSIONS", "Entrées axes": "DIMENSIONS", "Format": "DIMENSIONS", "Tamaño": "DIMENSIONS"}
+    want |= {"Température": "TECHNIQUE", "temperature": "TECHNIQUE", "Méca": "TECHNIQUE", "Énergétique": "TECHNIQUE", "energie": "TECHNIQUE", "Cor": "FINITION", "Corps": "AUTRES", "Oberfläche": "FINITION"}
+    want |= {"Duración": "GARANTIE", "Durabilité": "GARANTIE", "SAV": "GARANTIE", "Condit.": "CONDITIONNEMENT", "Nature du conditionnement": "CONDITIONNEMENT", "Poids": "AUTRES"}
+    got = spark.createDataFrame([(k,) for k in want], "k string").select("k", X.spec_category(F.col("k")).alias("c")).collect()
+    assert {r["k"]: r["c"] for r in got} == want
+
+
+def test_headers_of_sections_written_out(spark):
+    from pagewright.operators.pages import is_section_header
+
+    want = {"POMPES D'ÉVACUATION": True, "Pompes pour eaux": True, "AUTRE POMPE 12V": True, "Apres-vente": True, "Après-vente": False, "FORMATIONS": True, "Agréé": True, "Eaux claires": True, "Groupes de surpression": True, "Accessoires": True, "Les + produits": True, "Merkmale": True, "Pompe": False, "Eaux vives": False, "Évier": False}
+    got = spark.createDataFrame([(k,) for k in want], "k string").select("k", is_section_header(F.col("k")).alias("h")).collect()
+    assert {r["k"]: r["h"] for r in got} == want
+
+
+def test_hair_space_is_printed_as_a_blank(spark):
+    assert spark.range(1).select(X.safe_text(F.lit("a b​c d"))).first()[0] == "a bc d"

@@ -82,3 +82,34 @@ def test_pages_and_runs(spark, tmp_path):
     assert [(r["products"], r["duration"]) for r in runs.collect()] == [(3, 12.0)]
     managed = spark.createDataFrame([("x",), ("y",)], "name string")
     assert [r["name"] for r in documents.orphan_files(managed, runs).collect()] == ["y"]
+
+
+def test_quoted_line_breaks_and_repeated_headers(spark, tmp_path):
+    (tmp_path / "q.csv").write_bytes('Nom;Note;Nom;;Nom\nÉvier;"a\nb;c";x;1;y\n\n"Bac ""2""";;;;\n'.encode())
+    rows = tables.read_delimited(spark, str(tmp_path)).orderBy("row_idx", "col_idx").collect()
+    assert [(r["row_idx"], r["header"], r["value"]) for r in rows][:5] == [(0, "Nom", "Évier"), (0, "Note", "a\nb;c"), (0, "Nom (2)", "x"), (0, "Col4", "1"), (0, "Nom (3)", "y")]
+    assert rows[5]["value"] == 'Bac "2"' and len(rows) == 10
+
+
+def test_files_beyond_the_limits_are_errors(spark, tmp_path, monkeypatch):
+    import pytest
+
+    (tmp_path / "big.csv").write_bytes(b"a;b\n" + b"1;2\n" * 50)
+    for name, value, match in (("MAX_ROWS", 50, "rows or more"), ("MAX_BYTES", 60, "more than 60 bytes")):
+        with monkeypatch.context() as m:
+            m.setattr(tables, name, value)
+            if name == "MAX_BYTES":
+                with pytest.raises(Exception, match=match):
+                    tables.read_delimited(spark, str(tmp_path)).count()
+            else:
+                import pandas as pd
+
+                with pytest.raises(ValueError, match=match):
+                    list(tables._records([pd.DataFrame([("p", ";", "a;b\n" + "1;2\n" * 50)])]))
+
+
+def test_equal_sheets_go_by_their_place(spark, tmp_path):
+    body = "".join(f'<row r="{i}">' + "".join(f'<c r="{c}{i}" t="inlineStr"><is><t>x</t></is></c>' for c in "ABC") + "</row>" for i in (1, 2, 3))
+    workbook(tmp_path / "t.xlsx", [("Zebra", False, body), ("Alpha", False, body)])
+    rows = tables.product_sheet(tables.read_workbook(spark, str(tmp_path))).collect()
+    assert {r["sheet"] for r in rows} == {"Zebra"} and {r["header"] for r in rows} == {"x", "x (2)", "x (3)"}
