@@ -201,16 +201,22 @@ def safe_text(x: Column) -> Column:
 
 
 def wrap_words(x: Column, width: float, size: float) -> Column:
-    """Greedy wrap into lines of at most `width` points; a longer word is a line of its own."""
+    """Greedy wrap into lines of at most `width` points; a longer word is a line of its own. Each word is measured once."""
     words = F.filter(F.split(trim(x), r"(?U)\s+"), lambda w: w != "")
-    empty = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
+    measured = F.transform(words, lambda w: F.struct(w.alias("x"), text_width(w, F.lit(size)).alias("w")))
+    blank = 0.3 * size
+    empty = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(None).cast("string").alias("line"), F.lit(0.0).alias("w"))
 
-    def step(a: Column, w: Column) -> Column:
-        longer = F.when(a["line"] == "", w).otherwise(F.concat(a["line"], F.lit(" "), w))
-        fits = (a["line"] == "") | (text_width(longer, F.lit(size)) <= width)
-        return F.when(fits, F.struct(a["lines"].alias("lines"), longer.alias("line"))).otherwise(F.struct(F.concat(a["lines"], F.array(a["line"])).alias("lines"), w.alias("line")))
+    def step(a: Column, b: Column) -> Column:
+        longer = a["w"] + blank + b["w"]
+        fits = a["line"].isNotNull() & (longer <= width)
+        return F.struct(
+            F.when(fits | a["line"].isNull(), a["lines"]).otherwise(F.concat(a["lines"], F.array(a["line"]))).alias("lines"),
+            F.when(fits, F.concat(a["line"], F.lit(" "), b["x"])).otherwise(b["x"]).alias("line"),
+            F.when(fits, longer).otherwise(b["w"]).alias("w"),
+        )
 
-    return F.aggregate(words, empty, step, lambda a: F.when(a["line"] == "", a["lines"]).otherwise(F.concat(a["lines"], F.array(a["line"]))))
+    return F.aggregate(measured, empty, step, lambda a: F.when(a["line"].isNull(), a["lines"]).otherwise(F.concat(a["lines"], F.array(a["line"]))))
 
 
 def spec_category(key: Column) -> Column:
@@ -235,10 +241,6 @@ def round_half_up(x: Column) -> Column:
 
 
 def retry_delay_ms(message: Column) -> Column:
-    """Milliseconds a quota message asks to wait: retry in 1.5s, or retryDelay "30s"."""
-    seconds = F.regexp_extract(message, r"(?i)retry(?:Delay)?\W+(?:in\s+)?\"?(\d+(?:\.\d+)?)\s*s", 1)
-    return F.when(seconds != "", (seconds.cast("double") * 1000).cast("long"))
-
-
-def is_quota_failure(message: Column) -> Column:
-    return F.coalesce(message.rlike(r"(?i)\b429\b|quota|rate.?limit|resource.?exhausted"), F.lit(False))
+    """Milliseconds that a quota message asks to wait ("retry in 1.5s"), five minutes at most; null if it asks for none."""
+    seconds = F.nullif(F.regexp_extract(message, r"(?i)retry in\s+([0-9]+(?:\.[0-9]+)?)\s*s", 1), F.lit("")).cast("double")
+    return F.when(seconds > 0, F.least(F.floor(seconds * 1000 + 0.5), F.lit(300_000))).cast("long")

@@ -30,3 +30,8 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_id", "ts", (F.col("user_id") % 5).alias("model"), "event_type", F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), F.floor("value").cast("long").alias("tokens")
     )
+
+
+def pick(key: str, values: list[str]):
+    """One of the values, by a number in a column."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))

@@ -27,3 +27,8 @@ SPANS = """(SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderke
 
 # Calls, made of events; 60,000 rows of a log.
 CALLS = """(SELECT event_id, ts, user_id % 5 AS model, event_type, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, floor(value)::BIGINT AS tokens FROM events)"""
+
+
+def pick(key: str, values: list[str]) -> str:
+    """One of the values, by a number."""
+    return f"[{', '.join(map(quote, values))}][({key} % {len(values)} + 1)::INT]"
