@@ -41,9 +41,15 @@ def streaks(df: DataFrame, keys: list[str], order: list[str], hit: Column, reset
     return rows.withColumn(out, F.sum(hit.cast("long")).over(inside)).drop("_run")
 
 
-def sliding(keys: list[str], micros: str, seconds: int):
-    """Window over the rows of the last `seconds`, that many ago left out; micros: column of microseconds."""
-    return Window.partitionBy(*keys).orderBy(micros).rangeBetween(-(seconds * 1_000_000 - 1), 0)
+def sliding(df: DataFrame, keys: list[str], micros: str, seconds: int, aggregates: dict[str, Column]) -> DataFrame:
+    """Aggregates over the rows of the last `seconds`, that many ago left out; micros: column of microseconds.
+
+    Rows are worked on in stretches of that length, with the stretch before beside each, so that few keys make many tasks.
+    """
+    span = seconds * 1_000_000
+    near = df.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_part", F.floor(F.col(micros) / span) + F.col("_copy"))
+    w = Window.partitionBy(*keys, "_part").orderBy(micros).rangeBetween(-(span - 1), 0)
+    return near.withColumns({name: a.over(w) for name, a in aggregates.items()}).filter("_copy = 0").drop("_copy", "_part")
 
 
 def permute_slots(df: DataFrame, keys: list[str], order: str, movable: Column, by: list[Column]) -> DataFrame:

@@ -10,7 +10,7 @@ from pagewright.operators.ranking import best
 from pagewright.queries import sql
 from pagewright.queries.carriers import calls, table
 from pagewright.streaming.scratch import event_stream, run_to_end
-from pagewright.streaming.stateful import admissions, circuit, last_values, windowed
+from pagewright.streaming.stateful import admissions, circuit, cold_flags, last_of_stream, last_values, purged, windowed
 
 
 def micros(ts: str = "ts"):
@@ -34,9 +34,8 @@ FROM {sql.CALLS} GROUP BY GROUPING SETS ((), (model), (event_type), (status))"""
 
 
 def q_rolling_window(spark, d):
-    w = sliding(["model"], "us", 3600)
     rows = calls(spark, d).withColumn("us", micros())
-    return rows.select("event_id", "model", F.count(F.lit(1)).over(w).alias("n_hour"), F.sum("tokens").over(w).alias("tokens_hour"))
+    return sliding(rows, ["model"], "us", 3600, {"n_hour": F.count(F.lit(1)), "tokens_hour": F.sum("tokens")}).select("event_id", "model", "n_hour", "tokens_hour")
 
 
 def q_circuit(spark, d):
@@ -51,10 +50,44 @@ SELECT event_id, model, sum((status = 'error')::INT) OVER (PARTITION BY model, r
   sum((status = 'error')::INT) OVER (PARTITION BY model, run ORDER BY ts, event_id) >= 3 AS opens FROM r"""
 
 
+def outcomes(rows):
+    """Events as calls: key, event_id, ts_ms, outcome."""
+    return rows.select(F.col("user_id").alias("key"), "event_id", F.floor(micros() / 1000).alias("ts_ms"), F.when(F.col("event_type") == "error", "429").when(F.col("event_type") == "view", "ok").otherwise("500").alias("outcome"))
+
+
 def q_circuit_states(spark, d):
     """The breaker with its lifetime, as a state machine for each user."""
-    rows = table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", F.floor(micros() / 1000).alias("ts_ms"), F.when(F.col("event_type") == "error", "429").when(F.col("event_type") == "view", "ok").otherwise("500").alias("outcome"))
-    return circuit(rows, threshold=2, ttl_ms=86_400_000)
+    return circuit(outcomes(table(spark, d, "events")), threshold=2, ttl_ms=86_400_000)
+
+
+def q_stream_circuit(spark, d):
+    """The same on a stream, with timers."""
+    return run_to_end(circuit(outcomes(event_stream(spark, d)), threshold=2, ttl_ms=86_400_000), "circuit")
+
+
+def q_quota_cold(spark, d):
+    """Calls while the quota of all is cold: within half an hour after a failed one."""
+    return cold_flags(outcomes(table(spark, d, "events")), 1_800_000).select("event_id", "cold")
+
+
+COLD_SQL = """
+WITH e AS (SELECT event_id, epoch_us(ts) // 1000 AS t, event_type = 'error' AS f FROM events)
+SELECT event_id, coalesce(t - max(CASE WHEN f THEN t END) OVER (ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 1800000, false) AS cold FROM e"""
+
+
+def q_stream_last(spark, d):
+    """Progress of each user from a stream: the last state of those that are still alive at the end."""
+    rows = event_stream(spark, d).select(F.col("user_id").alias("key"), "event_id", F.floor(micros() / 1000).alias("ts_ms"), F.col("event_type").alias("value"))
+    states = run_to_end(last_of_stream(rows, 86_400_000), "last")
+    end = states.agg(F.max("ts_ms").alias("now")).first()["now"] or 0
+    latest = states.groupBy("key").agg(F.max_by(F.struct("ts_ms", "value"), F.struct("ts_ms", "event_id")).alias("s"))
+    return latest.select("key", "s.ts_ms", "s.value").filter(F.lit(end) - F.col("ts_ms") <= 86_400_000)
+
+
+def q_cache_purge(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.floor(micros() / 1000).alias("t"))
+    end = rows.agg(F.max("t").alias("now")).first()["now"] or 0
+    return purged(rows, "t", end, 7 * 86_400_000).select("event_id")
 
 
 def q_recent_n(spark, d):
@@ -103,6 +136,9 @@ def q_last_state(spark, d):
 
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 ORACLES = {
+    "q_quota_cold": COLD_SQL,
+    "q_stream_last": "WITH e AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS ts_ms, event_type AS value, event_id FROM events) SELECT key, ts_ms, value FROM e WHERE (SELECT max(ts_ms) FROM e) - ts_ms <= 86400000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts_ms DESC, event_id DESC) = 1",
+    "q_cache_purge": "SELECT event_id FROM events WHERE (SELECT max(epoch_us(ts) // 1000) FROM events) - epoch_us(ts) // 1000 <= 7 * 86400000",
     "q_call_stats": STATS_SQL,
     "q_rolling_window": f"SELECT event_id, model, count(*) OVER w AS n_hour, (sum(tokens) OVER w)::BIGINT AS tokens_hour FROM {sql.CALLS} WINDOW w AS (PARTITION BY model ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW)",
     "q_circuit": CIRCUIT_SQL,

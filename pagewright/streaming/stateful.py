@@ -5,10 +5,10 @@ Each is one pure step function, used on streams with applyInPandasWithState and
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -38,46 +38,109 @@ def trip(failures: int, opened: int | None, now: int, outcome: str, threshold: i
     return failures, opened, False
 
 
-ADMISSIONS = "key long, event_id long, ts_ms long, admitted boolean, retry_after int"
+def chill(cold_until: int | None, now: int, outcome: str, ttl_ms: int = 45_000) -> tuple[int | None, bool]:
+    """A call at `now`: until when the quota counts as cold, and whether it did before the call. A cascade that failed cools it for ttl_ms."""
+    cold = cold_until is not None and now < cold_until
+    return (now + ttl_ms if outcome == "429" else cold_until if cold else None), cold
+
+
+def keyed(rows: DataFrame, step: Callable, start: tuple, state: str, out: str, until: Callable) -> DataFrame:
+    """Rows (key, event_id, ts_ms and more) through a step function, key by key and in order of time.
+
+    step(state, row) gives the next state and what is known of the row; out: schema of the result, key, event_id and ts_ms first.
+    Tables are handled key by key. Streams keep a key's state between batches; until(state, last ts_ms) is the event time at which it
+    can be forgotten (None: it stays; not later than the rows seen: at once), so idle keys don't pile up. Streams need a watermark.
+    """
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def fold(now: tuple, pdf: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        found = []
+        for r in pdf.sort_values(["ts_ms", "event_id"]).itertuples(index=False):
+            now, known = step(now, r)
+            found.append((r.key, r.event_id, r.ts_ms, *known))
+        return now, pd.DataFrame(found, columns=names)
+
+    if not rows.isStreaming:
+        return rows.groupBy("key").applyInPandas(lambda pdf: fold(start, pdf)[1], out)
+
+    def on_state(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        rows = pd.concat(list(batches))
+        now, found = fold(tuple(held.get) if held.exists else start, rows)
+        last = int(rows["ts_ms"].max())
+        end = until(now, last)
+        if end is not None and end <= last:
+            if held.exists:
+                held.remove()
+        else:
+            held.update(now)
+            if end is not None:
+                held.setTimeoutTimestamp(max(end, held.getCurrentWatermarkMs() + 1))
+        yield found
+
+    return rows.groupBy("key").applyInPandasWithState(on_state, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def timed(rows: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """Rows with their event time as a watermarked column, where they are a stream."""
+    return rows.withColumn("at", F.timestamp_millis(F.col("ts_ms"))).withWatermark("at", late) if rows.isStreaming else rows
 
 
-def admissions(stream: DataFrame, window_ms: int, most: int) -> DataFrame:
-    """Rows of key, event_id, ts_ms (in order within a batch) with the limiter's decision. Streams keep the counted hits of a key, `most`
-    at most, as state; tables are handled key by key."""
+ADMISSIONS = "key long, event_id long, ts_ms long, admitted boolean, retry_after int"
 
-    def step(recent: list[int], rows: pd.DataFrame) -> tuple[list[int], pd.DataFrame]:
-        out = []
-        for r in rows.sort_values(["ts_ms", "event_id"]).itertuples(index=False):
-            recent, ok, wait = admit(recent, int(r.ts_ms), window_ms, most)
-            out.append((r.key, r.event_id, r.ts_ms, ok, wait))
-        return recent, pd.DataFrame(out, columns=["key", "event_id", "ts_ms", "admitted", "retry_after"])
 
-    rows = stream.select("key", "event_id", "ts_ms")
-    if not stream.isStreaming:
-        return rows.groupBy("key").applyInPandas(lambda pdf: step([], pdf)[1], ADMISSIONS)
+def admissions(rows: DataFrame, window_ms: int, most: int, late: str = "0 seconds") -> DataFrame:
+    """Rows of key, event_id, ts_ms with the limiter's decision. A key's state are its counted hits, `most` at most, until the last is out of the window."""
 
-    def on_state(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent, out = step(list(state.get[0]) if state.exists else [], pd.concat(list(batches)))
-        state.update((recent,))
-        yield out
+    def step(state, r):
+        recent, ok, wait = admit(list(state[0]), int(r.ts_ms), window_ms, most)
+        return (recent,), (ok, wait)
 
-    return rows.groupBy("key").applyInPandasWithState(on_state, ADMISSIONS, "recent array<long>", "append", GroupStateTimeout.NoTimeout)
+    return keyed(timed(rows.select("key", "event_id", "ts_ms"), late), step, ([],), "recent array<long>", ADMISSIONS, lambda state, last: max(state[0], default=last) + window_ms)
 
 
 CIRCUIT = "key long, event_id long, ts_ms long, refused boolean, failures int"
 
 
-def circuit(table: DataFrame, threshold: int = 3, ttl_ms: int = 300_000) -> DataFrame:
-    """Rows of key, event_id, ts_ms, outcome with what the circuit breaker does to each call."""
+def circuit(rows: DataFrame, threshold: int = 3, ttl_ms: int = 300_000, late: str = "0 seconds") -> DataFrame:
+    """Rows of key, event_id, ts_ms, outcome with what the circuit breaker does to each call. An open circuit is forgotten when its time is up,
+    one without failures at once."""
+
+    def step(state, r):
+        failures, opened, refused = trip(state[0], state[1], int(r.ts_ms), r.outcome, threshold, ttl_ms)
+        return (failures, opened), (refused, failures)
+
+    def until(state, last):
+        failures, opened = state
+        return opened + ttl_ms + 1 if opened is not None else last if not failures else None
+
+    return keyed(timed(rows.select("key", "event_id", "ts_ms", "outcome"), late), step, (0, None), "failures int, opened long", CIRCUIT, until)
+
+
+COLD = "key long, event_id long, ts_ms long, cold boolean"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        failures, opened, out = 0, None, []
-        for r in pdf.sort_values(["ts_ms", "event_id"]).itertuples(index=False):
-            failures, opened, refused = trip(failures, opened, int(r.ts_ms), r.outcome, threshold, ttl_ms)
-            out.append((r.key, r.event_id, r.ts_ms, refused, failures))
-        return pd.DataFrame(out, columns=["key", "event_id", "ts_ms", "refused", "failures"])
 
-    return table.select("key", "event_id", "ts_ms", "outcome").groupBy("key").applyInPandas(run, CIRCUIT)
+def cold_calls(rows: DataFrame, ttl_ms: int = 45_000, late: str = "0 seconds") -> DataFrame:
+    """Rows of key, event_id, ts_ms, outcome with whether the quota was cold at each call; a key is a quota that calls share."""
+
+    def step(state, r):
+        until, cold = chill(state[0], int(r.ts_ms), r.outcome, ttl_ms)
+        return (until,), (cold,)
+
+    return keyed(timed(rows.select("key", "event_id", "ts_ms", "outcome"), late), step, (None,), "until long", COLD, lambda state, last: last if state[0] is None else state[0])
+
+
+def cold_flags(rows: DataFrame, ttl_ms: int = 45_000) -> DataFrame:
+    """cold_calls() for a table of one quota, without a state: a failure is copied to its stretch of ttl_ms and the next, so stretches are worked on
+    apart. rows: event_id, ts_ms, outcome."""
+    failed = F.col("outcome") == "429"
+    both = F.when(failed, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    near = rows.withColumn("_copy", F.explode(both)).withColumn("_part", F.floor(F.col("ts_ms") / ttl_ms) + F.col("_copy"))
+    before = Window.partitionBy("_part").orderBy("ts_ms", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(failed, F.col("ts_ms"))).over(before)
+    return near.withColumn("cold", F.coalesce(F.col("ts_ms") - last < ttl_ms, F.lit(False))).filter("_copy = 0").select("event_id", "ts_ms", "cold")
 
 
 def windowed(stream: DataFrame, ts: str, keys: list[str], size: str, late: str, aggregates: list) -> DataFrame:
@@ -91,3 +154,27 @@ def last_values(table: DataFrame, keys: list[str], ts: str, values: list[str], n
     """Latest row of each key, without those older than the lifetime."""
     latest = table.groupBy(*keys).agg(F.max_by(F.struct(ts, *values), ts).alias("s"))
     return latest.select(*keys, "s.*").filter(F.lit(now_ms) - F.col(ts) <= ttl_ms)
+
+
+LAST = "key long, event_id long, ts_ms long, value string"
+
+
+def last_of_stream(rows: DataFrame, ttl_ms: int = 3_600_000, late: str = "0 seconds") -> DataFrame:
+    """Rows of key, event_id, ts_ms, value with the value that is the key's last one at that time, late rows included: one older than what is held
+    changes nothing. A key is forgotten a lifetime after its last value."""
+
+    def step(state, r):
+        value, at = (r.value, int(r.ts_ms)) if state[1] is None or r.ts_ms >= state[1] else state
+        return (value, at), (value,)
+
+    return keyed(timed(rows.select("key", "event_id", "ts_ms", "value"), late), step, (None, None), "value string, at long", LAST, lambda state, last: state[1] + ttl_ms)
+
+
+def first_answers(stream: DataFrame, keys: list[str], ts: str, ttl: str) -> DataFrame:
+    """The first answer for each key; more of them are dropped while the first may still be served, and it is forgotten after `ttl`."""
+    return stream.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(keys) if stream.isStreaming else stream.dropDuplicates(keys)
+
+
+def purged(cache: DataFrame, written_ms: str, now_ms: int, ttl_ms: int = 30 * 86_400_000) -> DataFrame:
+    """Cache entries that are not too old to be loaded; those without a time aren't loaded either."""
+    return cache.filter(F.coalesce(F.lit(now_ms) - F.col(written_ms) <= ttl_ms, F.lit(False)))
