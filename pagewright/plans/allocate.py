@@ -25,11 +25,11 @@ def sections_fit(page_key: str, section_key: str) -> bool:
     return bool(common) and common / min(len(a), len(b)) >= 0.5
 
 
-def place_products(sections: dict[str, list[int]], pages: dict[int, tuple[str, int]], overflow: bool = False) -> list[tuple[int, int | None, int, str]]:
+def place_products(sections: dict[str, list[int]], pages: dict[int, tuple[str, int]], overflow: bool = False, richness: dict[int, float] | None = None) -> list[tuple[int, int | None, int, str]]:
     """(product, page or None, place on the page, how) for sections of products and pages of (section key, blocks).
 
     Large sections choose first. A section takes as few pages as its products need, in parts whose sizes differ by one, each on the
-    smallest page that holds the part (else the largest). What is left fills pages with room, of any section; then, with
+    smallest page that holds the part (else the largest), or with richness on the richest page, those that hold the part first. What is left fills pages with room, of any section; then, with
     overflow, the first page of its section or of all; else it stays unplaced.
     """
     free, filled, left = dict(pages), {}, []
@@ -46,7 +46,8 @@ def place_products(sections: dict[str, list[int]], pages: dict[int, tuple[str, i
             pool = [p for p in fitting if p in free]
             if not pool:
                 break
-            page = min(pool, key=lambda p: (free[p][1] < size, free[p][1] if free[p][1] >= size else -free[p][1]))
+            fit = lambda p: free[p][1] if free[p][1] >= size else -free[p][1]
+            page = min(pool, key=lambda p: (free[p][1] < size, -richness[p] if richness else fit(p)))
             take = min(free[page][1], size, len(rest))
             filled[page], owner[page], rest = rest[:take], key, rest[take:]
             del free[page]
@@ -65,18 +66,26 @@ def place_products(sections: dict[str, list[int]], pages: dict[int, tuple[str, i
     return out
 
 
-def allocate(products: DataFrame, pages: DataFrame, *, overflow: bool = False) -> DataFrame:
+def page_richness(blocks: DataFrame) -> DataFrame:
+    """catalogue, page, richness (0 to 1) of pages by their blocks (catalogue, page, n_specs, has_image, has_ref): blocks up to three and specs up to
+    five a block weigh 0.3 each, the shares of blocks with an image and with a reference 0.2 each."""
+    share = lambda c: F.avg(F.col(c).cast("double"))
+    n, specs = F.least(F.lit(1.0), F.count(F.lit(1)) / 3), F.least(F.lit(1.0), F.avg("n_specs") / 5)
+    return blocks.groupBy("catalogue", "page").agg((n * 0.3 + specs * 0.3 + share("has_image") * 0.2 + share("has_ref") * 0.2).alias("richness"))
+
+
+def allocate(products: DataFrame, pages: DataFrame, *, overflow: bool = False, by_richness: bool = False) -> DataFrame:
     """catalogue, product, page, place, how for products (catalogue, product, section, ord) and pages (catalogue, page, section,
-    blocks). Every product comes back once; a catalogue without pages has all its products unplaced."""
+    blocks, and richness with by_richness). Every product comes back once; a catalogue without pages has all its products unplaced."""
     p = products.select("catalogue", F.col("product").cast("long").alias("product"), normalize_section(F.coalesce("section", F.lit(""))).alias("key"), F.col("ord").cast("long").alias("ord"))
-    q = pages.select("catalogue", F.col("page").cast("long").alias("page"), normalize_section(F.coalesce("section", F.lit(""))).alias("key"), F.col("blocks").cast("int").alias("blocks")).filter("blocks > 0")
+    q = pages.select("catalogue", F.col("page").cast("long").alias("page"), normalize_section(F.coalesce("section", F.lit(""))).alias("key"), F.col("blocks").cast("int").alias("blocks"), (F.col("richness") if by_richness else F.lit(0.0)).cast("double").alias("richness")).filter("blocks > 0")
 
     def run(key, own: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         own, there = own.sort_values("ord"), there.sort_values("page")
         sections: dict[str, list[int]] = {}
         for r in own.itertuples(index=False):
             sections.setdefault(r.key, []).append(int(r.product))
-        rows = place_products(sections, {int(r.page): (r.key, int(r.blocks)) for r in there.itertuples(index=False)}, overflow)
+        rows = place_products(sections, {int(r.page): (r.key, int(r.blocks)) for r in there.itertuples(index=False)}, overflow, {int(r.page): float(r.richness) for r in there.itertuples(index=False)} if by_richness else None)
         out = pd.DataFrame(rows, columns=["product", "page", "place", "how"])
         out.insert(0, "catalogue", key[0])
         return out.astype({"page": "Int64", "place": "int32"})

@@ -106,7 +106,7 @@ SELECT page, i, top + i * 58 AS top, bottom + i * 58 AS bottom FROM (SELECT *, u
 
 
 def q_ribbons(spark, d):
-    return P.ribbons(texts(spark, d).filter("l_returnflag = 'R'"), WIDTH, HEIGHT)
+    return P.ribbons(texts(spark, d), WIDTH, HEIGHT)
 
 
 def q_page_hash(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewright.operators.ordered import hierarchy_headers
-from pagewright.plans.allocate import allocate, dropped_pages
+from pagewright.plans.allocate import allocate, dropped_pages, page_richness
 from pagewright.plans.assemble import contents_pages, drawing_order, paginate, plan_documents, technical_grid
 from pagewright.queries import sql
 from pagewright.queries.carriers import spans, table
@@ -26,6 +26,25 @@ def q_alloc_overflow(spark, d):
     return allocate(*catalogue(spark, d), overflow=True)
 
 
+def page_blocks(spark, d):
+    part = table(spark, d, "part").filter("p_size % 3 = 0").select(F.col("p_brand").alias("catalogue"), F.col("p_partkey").alias("page"), F.explode(F.sequence(F.lit(0), F.col("p_size") % 4)).alias("i"))
+    return part.select("catalogue", "page", ((F.col("page") + F.col("i")) % 9).alias("n_specs"), ((F.col("page") * 3 + F.col("i")) % 4 == 0).alias("has_image"), ((F.col("page") + F.col("i")) % 3 == 0).alias("has_ref"))
+
+
+def q_page_richness(spark, d):
+    return page_richness(page_blocks(spark, d)).select("catalogue", "page", F.round("richness", 9).alias("richness"))
+
+
+RICH_SQL = """
+WITH b AS (SELECT p_brand AS catalogue, p_partkey AS page, unnest(generate_series(0, p_size % 4)) AS i FROM part WHERE p_size % 3 = 0)
+SELECT catalogue, page, round(least(1, count(*) / 3) * 0.3 + least(1, avg((page + i) % 9) / 5) * 0.3 + avg(((page * 3 + i) % 4 = 0)::INT) * 0.2 + avg(((page + i) % 3 = 0)::INT) * 0.2, 9) AS richness FROM b GROUP BY 1, 2"""
+
+
+def q_alloc_rich(spark, d):
+    products, pages = catalogue(spark, d)
+    return allocate(products, pages.join(page_richness(page_blocks(spark, d)), ["catalogue", "page"]), by_richness=True)
+
+
 def q_dropped_pages(spark, d):
     products, pages = catalogue(spark, d)
     return dropped_pages(pages, allocate(products, pages), products)
@@ -77,4 +96,9 @@ def q_plan_documents(spark, d):
 
 
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
-ORACLES = {"q_paginate": PAGINATE_SQL, "q_technical_grid": GRID_SQL, "q_drawing_order": DRAW_SQL}
+PLAN_SQL = f"""
+WITH o AS (SELECT page AS page_ord, ord AS op_ord, CASE font WHEN 'R' THEN 'erase_rect' WHEN 'N' THEN 'insert_text' ELSE 'draw_rect' END AS op, page || '-' || ord AS text FROM {sql.SPANS}),
+p AS (SELECT page_ord, list({{'op_ord': op_ord, 'op': op, 'text': text}} ORDER BY op_ord) AS operations FROM o GROUP BY 1)
+SELECT page_ord % 50 AS catalogue, to_json({{'version': 1, 'pages': list({{'page_ord': page_ord, 'operations': operations}} ORDER BY page_ord), 'stats': {{'n_operations': sum(len(operations))::BIGINT, 'n_pages': count(*)}}}})::VARCHAR AS plan FROM p GROUP BY 1"""
+
+ORACLES = {"q_page_richness": RICH_SQL, "q_plan_documents": PLAN_SQL, "q_paginate": PAGINATE_SQL, "q_technical_grid": GRID_SQL, "q_drawing_order": DRAW_SQL}
