@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import materialize, mix64, text_bytes
-from pagewright.llm.substrings import ODD, Hashes
+from pagewright.llm.substrings import ODD
 
 #: Lower-cases A-Z and turns all that isn't in a word into a blank, on UTF-8 bytes: words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -19,15 +20,11 @@ WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <=
 #: takes about 20 in a block's arrays and words.
 BLOCK_BYTES = 16 << 20
 #: Words of documents worked on at once, and candidate windows verified at once.
-BATCH_WORDS, CANDIDATES = 1_000_000, 200_000
+BATCH_WORDS, CANDIDATES = 250_000, 200_000
 #: Bits of the table that most shingles are turned away by.
 SIEVE = 22
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(WORD_BYTES).split()
-
-
 def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k words, by its start."""
     out = np.full(max(0, len(hashes) - k + 1), k, np.uint64)
@@ -36,17 +33,33 @@ def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-class Words:
-    """Words of several texts, end to end, and their hashes."""
+@functools.lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.full(n, ODD, np.uint64)), np.cumprod(np.full(n, pow(ODD, -1, 1 << 64), np.uint64))
 
-    def __init__(self, texts: list[bytes], memo: Hashes):
-        words = [words_of(t) for t in texts]
-        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
-        self.words = list(itertools.chain.from_iterable(words))
-        self.hashes = np.fromiter(map(memo.__getitem__, self.words), np.uint64, len(self.words))
+
+class Words:
+    """Words of several texts, end to end: where they are and their hashes, which come from sums over bytes and not word by word."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data = b"".join([t.translate(WORD_BYTES) + b" " for t in texts])
+        blank = np.concatenate([[True], np.frombuffer(self.data, np.uint8) == 32])
+        self.first, self.last = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.sizes = np.diff(np.searchsorted(self.first, begins))
+        power, back = powers(1 << max(16, len(self.data).bit_length()))
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.frombuffer(self.data, np.uint8) * power[: len(self.data)])])
+            self.hashes = mix64((total[self.last] - total[self.first]) * back[self.first])
         self.text = np.repeat(np.arange(len(texts)), self.sizes)  # of each word
         self.ends = np.cumsum(self.sizes)
 
+    def run(self, start: int, n: int) -> list[bytes]:
+        """n words from one on."""
+        return self.data[self.first[start] : self.last[start + n - 1]].split()
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of runs of k words inside one text, and their hashes."""
         h = shingle_hashes(self.hashes, k)
@@ -75,8 +88,8 @@ class Block:
     """Distinct windows of a block's items: where each has its words, its length, its items and its shingles."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int, shingle: int):
-        own = Words([t for _, t in items], Hashes())
-        self.names, self.words, self.hashes = [i for i, _ in items], own.words, own.hashes
+        own = Words([t for _, t in items])
+        self.names, self.words, self.hashes = [i for i, _ in items], own, own.hashes
         length = np.minimum(own.sizes, window)
         n = np.where(own.sizes > 0, own.sizes - length + 1, 0)
         owner = np.repeat(np.arange(len(items)), n)
@@ -143,7 +156,7 @@ class Block:
         run = np.arange(size)
         own = (docs.hashes[start[:, None] + run] == self.hashes[self.start[window][:, None] + run]).all(axis=1)
         window, start = window[own], start[own]
-        own = [docs.words[s : s + size] == self.words[w : w + size] for s, w in zip(start.tolist(), self.start[window].tolist(), strict=True)]
+        own = np.array([docs.run(s, size) == self.words.run(w, size) for s, w in zip(start.tolist(), self.start[window].tolist(), strict=True)], bool)
         return window[own], start[own]
 
 
@@ -193,15 +206,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, shingl
 
 def in_runs(texts: list[bytes]):
     """Texts as Words of about BATCH_WORDS at most, with the number of the first."""
-    memo, first, held, size = Hashes(), 0, [], 0
+    first, held, size = 0, [], 0
     for i, text in enumerate(texts):
         held.append(text)
         size += len(text)
         if size >= 6 * BATCH_WORDS or i == len(texts) - 1:
-            yield first, Words(held, memo)
+            yield first, Words(held)
             first, held, size = i + 1, [], 0
-            if len(memo) > BATCH_WORDS:
-                memo.clear()
 
 
 def document_counts(docs: DataFrame, keys: np.ndarray, lengths: list[int]) -> np.ndarray:

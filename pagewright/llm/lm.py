@@ -135,8 +135,23 @@ def subtree(keys: np.ndarray, counts: np.ndarray, depth: int) -> list[list[dict]
 
 
 def merge(keys: list[np.ndarray], counts: list[np.ndarray]):
-    own, back = np.unique(np.concatenate(keys), return_inverse=True)
-    return own, np.bincount(back, weights=np.concatenate(counts), minlength=len(own)).astype(np.int64)
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order], first)
+
+
+def sorted_counts(codes: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """distinct_counts() of codes below 2^63, by one sort."""
+    marked = (codes << np.uint64(1)) | counted
+    marked.sort()
+    keys = marked >> np.uint64(1)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    sums = np.concatenate([[0], np.cumsum(marked & np.uint64(1), dtype=np.int64)])
+    return keys[first], sums[np.append(first[1:], len(keys))] - sums[first] if len(first) else np.zeros(0, np.int64)
 
 
 # ---------------------------------------------------------------- chunks of documents
@@ -167,21 +182,21 @@ class Chunk:
                 pad = bytes([END]) * d
                 data = np.frombuffer(pad + (bytes([END]) + pad).join(held) + bytes([END]), np.uint8)
                 lengths = np.fromiter(map(len, held), np.int64, len(held)) + 1
-                starts = np.concatenate([[0], np.cumsum(lengths + d)[:-1]]) + d
-                code = np.zeros(len(data) - d, np.uint64)
+                # Little-endian: the byte itself lowest, then those before it, the nearest highest.
+                code = np.zeros((len(data) - d, 8), np.uint8)
+                code[:, 0] = data[d:]
                 for j in range(1, d + 1):
-                    code = (code << np.uint64(8)) | data[d - j : len(data) - j].astype(np.uint64)
-                code = (code << np.uint64(8)) | data[d:].astype(np.uint64)
-                own = np.repeat(np.arange(first, k + 1), lengths)
-                at = np.arange(len(own)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths) - d
-                yield own, code[at]
+                    code[:, d + 1 - j] = data[d - j : len(data) - j]
+                kept = np.ones(len(code), bool)
+                kept[(np.cumsum(lengths + d)[:-1] - d)[:, None] + np.arange(d)] = False  # what stands between texts
+                yield np.repeat(np.arange(first, k + 1), lengths), code.view("<u8").ravel()[kept]
                 held, first, size = [], k + 1, 0
 
     def grams(self):
         """Distinct codes, sorted, with their counts in training documents (0: only held-out ones have it)."""
         keys, counts = [], []
         for own, code in self.codes():
-            k, c = distinct_counts(code, ~self.held[own])
+            k, c = (distinct_counts if self.depth == 7 else sorted_counts)(code, ~self.held[own])
             keys.append(k)
             counts.append(c)
         return merge(keys, counts) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))

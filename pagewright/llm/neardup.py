@@ -28,9 +28,9 @@ FEW = 25
 BITS = 512
 #: Candidates that a member has in a bucket in the first round, and how many times more in each round after.
 FIRST, MORE = 2, 8
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: k-mers of texts that a task keeps while it aligns pairs, as a text is in several.
-HELD_KMERS = 4_000_000
+HELD_KMERS = 1_500_000
 #: At most so many labels or links are sent to all executors (under 10 MB); more are shuffled.
 BROADCAST_LINKS = 200_000
 #: Bits of the table, of fixed size, by which documents that are not candidates are left out before texts are shuffled.
