@@ -19,8 +19,19 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK_BYTES = 24 << 20
 
 
+#: Bytes of a batch of rows that goes to a Python worker. Rows are whole texts here, so a count of rows bounds nothing.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Batches for Python workers bounded by bytes, where the session doesn't say otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); where that is unset, a temporary one in one process, and an error on a cluster."""
+    bounded(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
