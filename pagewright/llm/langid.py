@@ -16,7 +16,7 @@ from pagewright.llm.common import materialize
 #: Rows of the table of affix and n-gram weights, and lengths of the n-grams of ^word$ (those at an end are affixes).
 BUCKETS, SIZES = 1 << 16, (2, 3, 4)
 #: Words of a training sequence, of a run of one language in it at least, and words worked on at once when predicting.
-SEQUENCE, RUN, BATCH_WORDS = 40, 8, 150_000
+SEQUENCE, RUN, BATCH_WORDS = 40, 8, 300_000
 UNKNOWN = "und"
 
 ASCII_WORDS, WORDS = re.compile(r"[A-Za-z]+"), regex.compile(r"\p{L}+")
