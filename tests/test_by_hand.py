@@ -197,3 +197,64 @@ def test_states_of_users(spark):
         admitted[i] = now - held.get(key, -(10**15)) >= 3_600_000
         held[key] = now if admitted[i] else held[key]
     assert {r["event_id"]: r["admitted"] for r in QUERIES["q_stream_admission"](spark, DATA).collect()} == admitted
+
+
+def barcode(text):
+    t = "".join(text.split())
+    n, letters, digits = len(t), sum(bool(re.match("[a-zA-ZÀ-ÿœŒæÆ]", c)) for c in t), sum(c in "0123456789" for c in t)
+    if len(text.strip()) < 3 or not n:
+        return False
+    if digits == n and n >= 5:
+        return True
+    if n <= 30 and (letters + digits) / n >= 0.8:
+        return False
+    return (n - letters - digits) / n > 0.3 or letters / n < 0.5
+
+
+def blocks_by_hand(spans):
+    """[(name, top, bottom, left, right)] of a page's product names, or None where equal places leave the order open."""
+    names = [s for s in spans if 9 <= s["size"] <= 12 and s["x0"] < 400 and not barcode(s["text"])]
+    if len({(s["y0"], s["x0"]) for s in names}) < len(names):
+        return None
+    runs = []
+    for s in sorted(names, key=lambda s: (s["y0"], s["x0"])):
+        last = runs[-1] if runs else None
+        near = last and abs(s["size"] - last["size"]) < 1
+        if near and ((abs(s["x0"] - last["x0"]) < 8 and s["y0"] - last["y1"] < 8) or (abs(s["y0"] - last["y0"]) < 8 and -2 <= s["x0"] - last["x1"] < 10)):
+            last |= {"text": f"{last['text']} {s['text'].strip()}", "x1": max(last["x1"], s["x1"]), "y1": max(last["y1"], s["y1"])}
+        else:
+            runs.append(s | {"text": s["text"].rstrip()})
+    n = len(runs)
+    tolerance = max(4.0, 0.3 * sorted(r["size"] for r in runs)[n // 2]) if n else 4.0
+    lines = []
+    for r in runs:
+        line = next((g for g in lines if abs(g[0] - r["y0"]) <= tolerance), None)
+        if line:
+            line[1] += 1
+        else:
+            lines.append([r["y0"], 1])
+    most = max((c for _, c in lines), default=0)
+    in_rows = n >= 2 and ((most >= 2 and most / n >= 0.4) or (most >= 3 and most / n >= 0.33))
+    out = []
+    for i, r in enumerate(runs):
+        if in_rows:
+            below = min((x["y0"] for x in runs if x["y0"] - r["y0"] > tolerance), default=None)
+            right = min((x["x0"] for x in runs if abs(x["y0"] - r["y0"]) <= tolerance and x["x0"] > r["x0"]), default=1e9)
+        else:
+            below, right = (runs[i + 1]["y0"] if i + 1 < n else None), 1e9
+        out.append((r["text"], r["y0"], 565.0 if below is None else below - 4, 0.0 if in_rows else -1e9, right))
+    return out
+
+
+def test_blocks_of_names(spark):
+    got = defaultdict(list)
+    for r in QUERIES["q_name_blocks"](spark, DATA).orderBy("page", "block").collect():
+        got[r["page"]].append((r["name"], r["top"], r["bottom"], r["left"], r["right"]))
+    compared = rows_of = 0
+    for page, spans in pages_of(spark).items():
+        want = blocks_by_hand(spans)
+        if want is not None:
+            assert got.get(page, []) == want
+            compared += 1
+            rows_of += any(b[3] == 0.0 for b in want)
+    assert compared > 1000 and rows_of > 10
