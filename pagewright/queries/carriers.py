@@ -17,10 +17,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page, ord, x0, y0, x1, y1, size, font: order lines as text spans on a page, numbered from the top."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_quantity", "l_discount", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    order = Window.partitionBy("page").orderBy("l_quantity", "l_discount", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     x0, y0 = F.col("l_discount") * 1000, F.col("l_quantity") * 10
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("page"), F.row_number().over(order).cast("long").alias("ord"), x0.alias("x0"), y0.alias("y0"),
+    # Numbered before the boxes are made, and by the page's own name: what follows by page needs no other exchange, and the one here has the table's columns only.
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "page").withColumn("ord", F.row_number().over(order).cast("long"))
+    return rows.select(
+        "page", "ord", x0.alias("x0"), y0.alias("y0"),
         (x0 + 5 + F.col("l_tax") * 1000).alias("x1"), (y0 + 10).alias("y1"), (F.col("l_linenumber") + 8.0).alias("size"), F.col("l_returnflag").alias("font"),
     )
 
