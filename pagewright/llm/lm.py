@@ -15,7 +15,9 @@ from pagewright.llm.common import LOWER, KeyIndex, by_group, chunked, compress,
 from pagewright.llm.substrings import Hashes
 
 #: Text bytes of a chunk, positions worked on at once, keys of a group (about), and groups at least and at most.
-CHUNK, BATCH, GROUP_KEYS, MIN_GROUPS, MAX_GROUPS = 12 << 20, 2 << 20, 1_000_000, 16, 4096
+CHUNK, BATCH, GROUP_KEYS, MIN_GROUPS, MAX_GROUPS = 12 << 20, 1 << 20, 1_000_000, 16, 4096
+#: Keys of which trees are built at once (about 300 bytes each), and words whose hashes are kept.
+PIECE, MEMO = 1 << 17, 200_000
 #: End of a text: the byte that no word has, which also stands before a text.
 END = 10
 LN2, LN10 = math.log(2), math.log(10)
@@ -126,12 +128,62 @@ def log_probability(keys: np.ndarray, made: list[tuple[np.ndarray, ...]]) -> np.
     return out
 
 
-def subtree(keys: np.ndarray, counts: np.ndarray, depth: int) -> list[list[dict]]:
-    """Nodes of contexts from depth bytes down to 2, long ones first."""
-    tables = [(keys, counts)]
-    for _ in range(depth - 2):
-        tables.append(shorter(*tables[-1]))
-    return weigh(tables)
+def tables(keys: np.ndarray, counts: np.ndarray, depth: int, level: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of contexts from depth bytes down to level."""
+    out = [(keys, counts)]
+    for _ in range(depth - level):
+        out.append(shorter(*out[-1]))
+    return out
+
+
+def pieces(keys: np.ndarray, depth: int, level: int):
+    """Slices of sorted keys with whole contexts of level bytes: as many as PIECE keys hold, or one context that has more."""
+    near = keys >> np.uint64(8 * (depth - level + 1))
+    edge = np.concatenate([[0], np.flatnonzero(near[1:] != near[:-1]) + 1, [len(keys)]])
+    at = 0
+    while at < len(edge) - 1 and len(keys):
+        to = max(at + 1, int(np.searchsorted(edge, edge[at] + PIECE, side="right")) - 1)
+        yield slice(edge[at], edge[to])
+        at = to
+
+
+def weighed(keys: np.ndarray, counts: np.ndarray, depth: int, level: int) -> list[dict]:
+    """Nodes of the contexts of level bytes of a piece; one context with more than PIECE keys is weighed from pieces of longer contexts."""
+    if len(keys) <= PIECE or level == depth:
+        return weigh(tables(keys, counts, depth, level))[-1]
+    byte = (keys & np.uint64(255)).astype(np.int64)
+    here = np.flatnonzero(np.bincount(byte, minlength=256))
+    sums = np.bincount(byte, weights=counts, minlength=256)[here].astype(np.int64)
+    own = (keys[0] >> np.uint64(8 * (depth - level + 1))) << np.uint64(8) | here.astype(np.uint64)
+    return weigh([(own, sums)], sums_above(keys, counts, depth, level + 1))[0]
+
+
+def sums_above(keys: np.ndarray, counts: np.ndarray, depth: int, level: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each decision: ids of the nodes one byte shorter than level, and the sums of log pw of their children of level bytes."""
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(8)]
+    for own in pieces(keys, depth, level):
+        for k, x in enumerate(weighed(keys[own], counts[own], depth, level)):
+            found[k].append((parents(x["ids"], k), x["pw"]))
+        if sum(len(i) for i, _ in found[7]) > PIECE:
+            found = [[summed(x)] for x in found]
+    return [summed(x) for x in found]
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    ids, back = np.unique(np.concatenate([i for i, _ in parts]), return_inverse=True)
+    return ids, np.bincount(back, weights=np.concatenate([p for _, p in parts]), minlength=len(ids))
+
+
+def log_probabilities(keys: np.ndarray, counts: np.ndarray, depth: int, top: list | None, level: int = 2) -> np.ndarray:
+    """log_probability() of sorted keys with whole contexts of level bytes, piece by piece. top: predict() of contexts one byte shorter."""
+    out = np.empty(len(keys), np.float32)
+    for own in pieces(keys, depth, level):
+        k, c = keys[own], counts[own]
+        if len(k) <= PIECE or level == depth:
+            out[own] = log_probability(k, predict(weigh(tables(k, c, depth, level))[::-1], top)[-1])
+        else:
+            out[own] = log_probabilities(k, c, depth, predict([weighed(k, c, depth, level)], top)[-1], level + 1)
+    return out
 
 
 def merge(keys: list[np.ndarray], counts: list[np.ndarray]):
@@ -144,6 +196,24 @@ def merge(keys: list[np.ndarray], counts: list[np.ndarray]):
     return keys[first], np.add.reduceat(counts[order], first)
 
 
+class Sums:
+    """Sorted distinct keys with the sums of their counts. What comes is merged when there are GROUP_KEYS, or twice the distinct ones."""
+
+    def __init__(self):
+        self.keys, self.counts, self.size, self.most = [], [], 0, GROUP_KEYS
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.size += len(keys)
+        if self.size > self.most:
+            keys, counts = self.total()
+            self.keys, self.counts, self.size, self.most = [keys], [counts], len(keys), max(GROUP_KEYS, 2 * len(keys))
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        return merge(self.keys, self.counts) if self.keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 def sorted_counts(codes: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """distinct_counts() of codes below 2^63, by one sort."""
     marked = (codes << np.uint64(1)) | counted
@@ -163,54 +233,62 @@ def held_out(doc_id: int | None, folds: int) -> bool:
 
 
 class Chunk:
-    """Lower-cased words of a chunk's documents and their byte codes."""
+    """Tokens of a chunk's documents and their byte codes. Words, and all that is made of them, are held for BATCH bytes of texts at a time."""
 
     def __init__(self, ids, texts, depth: int, folds: int):
-        self.ids, self.depth = ids, depth
-        self.words = [t.translate(LOWER).split() for t in texts]
+        self.ids, self.texts, self.depth = ids, texts, depth
         self.held = np.array([held_out(i, folds) for i in ids], bool)
 
+    def parts(self):
+        """In batches of documents: the number of the first, and each one's lower-cased words."""
+        words, first, size = [], 0, 0
+        for k, text in enumerate(self.texts):
+            words.append(text.translate(LOWER).split())
+            size += len(text) + self.depth + 1
+            if size >= BATCH or k == len(self.texts) - 1:
+                yield first, words
+                words, first, size = [], k + 1, 0
+
     def codes(self):
         """In batches of documents: document numbers and codes of all their bytes. A code has the byte at the bottom and the
         nearest byte before it on top, then the next, to depth. The text scored is the words joined by one blank, and END."""
-        d, held, first = self.depth, [], 0
-        size = 0
-        for k, words in enumerate(self.words):
-            held.append(b" ".join(words))
-            size += len(held[-1]) + d + 1
-            if size >= BATCH or k == len(self.words) - 1:
-                pad = bytes([END]) * d
-                data = np.frombuffer(pad + (bytes([END]) + pad).join(held) + bytes([END]), np.uint8)
-                lengths = np.fromiter(map(len, held), np.int64, len(held)) + 1
-                # Little-endian: the byte itself lowest, then those before it, the nearest highest.
-                code = np.zeros((len(data) - d, 8), np.uint8)
-                code[:, 0] = data[d:]
-                for j in range(1, d + 1):
-                    code[:, d + 1 - j] = data[d - j : len(data) - j]
-                kept = np.ones(len(code), bool)
-                kept[(np.cumsum(lengths + d)[:-1] - d)[:, None] + np.arange(d)] = False  # what stands between texts
-                yield np.repeat(np.arange(first, k + 1), lengths), code.view("<u8").ravel()[kept]
-                held, first, size = [], k + 1, 0
+        d = self.depth
+        for first, words in self.parts():
+            held = [b" ".join(own) for own in words]
+            pad = bytes([END]) * d
+            data = np.frombuffer(pad + (bytes([END]) + pad).join(held) + bytes([END]), np.uint8)
+            lengths = np.fromiter(map(len, held), np.int64, len(held)) + 1
+            # Little-endian: the byte itself lowest, then those before it, the nearest highest.
+            code = np.zeros((len(data) - d, 8), np.uint8)
+            code[:, 0] = data[d:]
+            for j in range(1, d + 1):
+                code[:, d + 1 - j] = data[d - j : len(data) - j]
+            kept = np.ones(len(code), bool)
+            kept[(np.cumsum(lengths + d)[:-1] - d)[:, None] + np.arange(d)] = False  # what stands between texts
+            yield np.repeat(np.arange(first, first + len(held)), lengths), code.view("<u8").ravel()[kept]
 
     def grams(self):
         """Distinct codes, sorted, with their counts in training documents (0: only held-out ones have it)."""
-        keys, counts = [], []
+        sums = Sums()
         for own, code in self.codes():
-            k, c = (distinct_counts if self.depth == 7 else sorted_counts)(code, ~self.held[own])
-            keys.append(k)
-            counts.append(c)
-        return merge(keys, counts) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            sums.add(*(distinct_counts if self.depth == 7 else sorted_counts)(code, ~self.held[own]))
+        return sums.total()
 
     def tokens(self):
-        """Hash of every token (the end's is that of the empty word), and the document it is in."""
+        """In batches of documents: hash of every token (the end's is that of the empty word), and the document it is in."""
         memo = Hashes()
-        hashes = np.fromiter((memo[w] for own in self.words for w in (*own, b"")), np.uint64)
-        return hashes, np.repeat(np.arange(len(self.words)), np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1)
+        for first, words in self.parts():
+            if len(memo) > MEMO:
+                memo.clear()
+            sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+            yield np.fromiter((memo[w] for own in words for w in (*own, b"")), np.uint64, int(sizes.sum())), np.repeat(np.arange(first, first + len(words)), sizes)
 
     def vocabulary(self):
-        hashes, own = self.tokens()
-        keys, back = np.unique(hashes, return_inverse=True)
-        return keys, np.bincount(back[~self.held[own]], minlength=len(keys))
+        sums = Sums()
+        for hashes, own in self.tokens():
+            keys, back = np.unique(hashes, return_inverse=True)
+            sums.add(keys, np.bincount(back[~self.held[own]], minlength=len(keys)))
+        return sums.total()
 
 
 def gram_groups(keys: np.ndarray, depth: int, groups: int) -> np.ndarray:
@@ -273,7 +351,8 @@ def score(docs: DataFrame, *, depth: int = 5, folds: int = 10) -> DataFrame:
     Chunks send their distinct codes and words with counts; groups (all contexts that end in the same two bytes; words by
     hash; at most MAX_GROUPS) add them up, compute their subtrees and send back one number per code. Only depths 0 and 1, at most 257
     contexts, pass through the driver. Memory is bounded by a chunk, and by the distinct codes of a group: chunks' blocks are summed
-    as they come, and answered one after another. All codes behind the same two bytes are in one group, 16 bytes each.
+    as they come, and answered one after another. All codes behind the same two bytes are in one group, 16 bytes each (about 60 while they
+    are summed); trees are built for PIECE codes at a time, of longer contexts where one of two bytes has more. A chunk's words are made for BATCH bytes at a time.
     """
     if not 2 <= depth <= 7:
         raise ValueError("depth is 2 to 7")
@@ -320,16 +399,10 @@ def score(docs: DataFrame, *, depth: int = 5, folds: int = 10) -> DataFrame:
 def merge_blocks(batches):
     """All keys of a group with their training counts, in one block; chunks' blocks are summed as they come."""
     for (kind, group), rows in by_group(batches, "kind", "grp"):
-        held, sums, size, most = [], [], 0, 4 * GROUP_KEYS
+        sums = Sums()
         for r in rows:
-            k, c = open_block(r["payload"])
-            held.append(k)
-            sums.append(c)
-            size += len(k)
-            if size > most:
-                k, c = merge(held, sums)
-                held, sums, size, most = [k], [c], len(k), max(4 * GROUP_KEYS, 2 * len(k))
-        keys, counts = merge(held, sums)
+            sums.add(*open_block(r["payload"]))
+        keys, counts = sums.total()
         packed = pack_counts(counts)
         yield rows_batch([("", kind, group, len(packed).to_bytes(4, "little") + packed + pack_sorted(keys))])
 
@@ -346,15 +419,11 @@ def first_sums(batches, depth: int):
     """For each nearest byte: its counts by next byte, and for each decision the sum of log pw of the contexts of two bytes."""
     for _, rows in by_group(batches, "grp"):
         keys, counts = open_block(next(rows)["payload"])
-        levels = subtree(keys, counts, depth)
-        two, n2 = (keys, counts) if depth == 2 else functools.reduce(lambda x, _: shorter(*x), range(depth - 2), (keys, counts))
-        one, n1 = shorter(two, n2)
-        out = {}
-        for key, n in zip(one.tolist(), n1.tolist(), strict=True):
-            out.setdefault(key >> 8, np.zeros((2, 256)))[0, key & 255] += n
-        for k in range(8):
-            x = levels[-1][k]
-            for i, p in zip(parents(x["ids"], k).tolist(), x["pw"].tolist(), strict=True):
+        pair = ((keys >> np.uint64(8 * depth)) << np.uint64(8) | (keys & np.uint64(255))).astype(np.int64)
+        one = np.bincount(pair, weights=counts, minlength=1 << 16).reshape(256, 256)
+        out = {near: np.stack([one[near], np.zeros(256)]) for near in np.unique(pair >> 8).tolist()}
+        for k, (ids, sums) in enumerate(sums_above(keys, counts, depth, 2)):
+            for i, p in zip(ids.tolist(), sums.tolist(), strict=True):
                 out[i >> k][1, (1 << k) | (i & ((1 << k) - 1))] += p
         yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([compress(x.tobytes()) for x in out.values()], pa.binary())], names=["near", "payload"])
 
@@ -388,9 +457,7 @@ def answer(sent, depth: int):
         for (kind, group), rows in by_group(batches, "kind", "grp"):
             keys, values = open_block(next(rows)["payload"])
             if kind == GRAMS:
-                made = predict(subtree(keys, values, depth)[::-1], sent.value)[-1]
-                values = log_probability(keys, made).astype(np.float32)
-                del made
+                values = log_probabilities(keys, values, depth, sent.value)
             for r in rows:
                 own = values[np.searchsorted(keys, open_block(r["payload"])[0])]
                 yield rows_batch([(r["chunk"], kind, group, pack_counts(own) if kind == WORDS else compress(np.ascontiguousarray(own.view(np.uint8).reshape(-1, 4).T).tobytes(), 1))])
@@ -412,23 +479,31 @@ def spread(parts: list[np.ndarray], group: np.ndarray, kind) -> np.ndarray:
 def finish(depth: int, folds: int, groups: int, known: int, n_train: int):
     def run(batches):
         for _, chunk, rows in each_chunk(batches, depth, folds):
-            grams, words = [], []
-            for r in rows:
-                (grams if r["kind"] == GRAMS else words).append(r["payload"])
-            n = len(chunk.ids)
-            keys, _ = chunk.grams()
-            logs = spread([floats(x) for x in grams], gram_groups(keys, depth, groups), np.float64)
-            index, total, size = KeyIndex(keys), np.zeros(n), np.zeros(n, np.int64)
-            for own, code in chunk.codes():
-                total += np.bincount(own, weights=logs[index.find(code)], minlength=n)
-                size += np.bincount(own, minlength=n)
-            hashes, own = chunk.tokens()
-            vocabulary, back = np.unique(hashes, return_inverse=True)
-            counts = spread([unpack_counts(x) for x in words], word_groups(vocabulary, groups), np.int64)[back]
-            n_tokens = np.bincount(own, minlength=n)
-            base = np.bincount(own, weights=np.log10(counts + 0.1), minlength=n) - n_tokens * math.log10(n_train + 0.1 * (known + 1))
-            columns = [pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(n_tokens), pa.array(np.bincount(own[counts > 0], minlength=n)), pa.array(np.full(n, n_train, np.int64)), pa.array(base), pa.array(total / LN10), pa.array(size), pa.array(-total / LN2 / size)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
+            yield scored(chunk, rows)
+
+    def scored(chunk: Chunk, rows) -> pa.RecordBatch:
+        grams, words = [], []
+        for r in rows:
+            (grams if r["kind"] == GRAMS else words).append(r["payload"])
+        n = len(chunk.ids)
+        keys, _ = chunk.grams()
+        logs = spread([floats(x) for x in grams], gram_groups(keys, depth, groups), np.float64)
+        index, total, size = KeyIndex(keys), np.zeros(n), np.zeros(n, np.int64)
+        for own, code in chunk.codes():
+            total += np.bincount(own, weights=logs[index.find(code)], minlength=n)
+            size += np.bincount(own, minlength=n)
+        del grams, keys, logs, index
+        vocabulary, _ = chunk.vocabulary()
+        counts = spread([unpack_counts(x) for x in words], word_groups(vocabulary, groups), np.int64)
+        base, n_tokens, n_known = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for hashes, own in chunk.tokens():
+            c = counts[np.searchsorted(vocabulary, hashes)]
+            base += np.bincount(own, weights=np.log10(c + 0.1), minlength=n)
+            n_tokens += np.bincount(own, minlength=n)
+            n_known += np.bincount(own[c > 0], minlength=n)
+        base -= n_tokens * math.log10(n_train + 0.1 * (known + 1))
+        columns = [pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(n, n_train, np.int64)), pa.array(base), pa.array(total / LN10), pa.array(size), pa.array(-total / LN2 / size)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
 
     return run
 

@@ -1,6 +1,8 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 from samples import prose
@@ -95,6 +97,61 @@ def test_lm_bytes_sum_to_one():
     assert abs(np.exp(logs[full >> np.uint64(8) == context]).sum() - 1) < 1e-9
 
 
+def random_block(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of depth 5 behind a few pairs of bytes, one of them with most codes, and counts, some of them 0."""
+    random = np.random.default_rng(1)
+    parts = [random.choice(np.array([97, 98], np.uint8), n), *random.integers(97, 123, (4, n)).astype(np.uint8), np.full(n, 101, np.uint8)]
+    parts[1][: n // 10] = 102
+    keys = np.unique(sum(x.astype(np.uint64) << np.uint64(8 * (5 - j)) for j, x in enumerate(reversed(parts))))
+    return keys, random.integers(0, 4, len(keys))
+
+
+def test_lm_pieces_equal_the_whole(monkeypatch):
+    keys, counts = random_block(3000)
+    tables = [(keys, counts)]
+    for _ in range(5):
+        tables.append(lm.shorter(*tables[-1]))
+    top = lm.predict(lm.weigh(tables[-2:])[::-1], None)[-1]
+    levels = lm.weigh(tables[:4])
+    whole = lm.log_probability(keys, lm.predict(levels[::-1], top)[-1])
+    for piece in (1 << 17, 900, 40, 2):
+        monkeypatch.setattr(lm, "PIECE", piece)
+        assert np.allclose(lm.log_probabilities(keys, counts, 5, top), whole, rtol=1e-5, atol=1e-7)
+        for k, (ids, sums) in enumerate(lm.sums_above(keys, counts, 5, 2)):
+            own, back = np.unique(lm.parents(levels[-1][k]["ids"], k), return_inverse=True)
+            assert ids.tolist() == own.tolist() and np.allclose(sums, np.bincount(back, weights=levels[-1][k]["pw"]))
+
+
+def peak_mb(run) -> float:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_lm_memory_of_a_group():
+    """Trees of a group are not built at once: 600,000 codes of one group are answered in 110 MB."""
+    keys, counts = random_block(600_000)
+    top = lm.top_of({})
+    packed = lm.pack_counts(counts)
+    block = len(packed).to_bytes(4, "little") + packed + lm.pack_sorted(keys)
+    rows = lm.rows_batch([("", lm.GRAMS, 0, block), ("0.0", lm.GRAMS, 0, block)])
+    assert peak_mb(lambda: list(lm.answer(SimpleNamespace(value=top), 5)([rows]))) < 110
+
+
+def test_lm_memory_of_a_chunk():
+    """Words of a chunk are not held at once: 8 MB of short words are counted in 130 MB."""
+    text = " ".join(np.base_repr(i % 40_000, 36) for i in range(400_000)).encode()[: 1 << 20]
+
+    def run():
+        chunk = lm.Chunk(list(range(8)), [text] * 8, 5, 10)
+        return chunk.grams(), chunk.vocabulary()
+
+    assert peak_mb(run) < 130
+
+
 def test_lm_odd(spark, odd_docs, no_docs):
     got = lm.score(odd_docs).collect()
     assert len(got) == odd_docs.count() and all(r["score"] < 0 and r["n_tokens"] >= 1 for r in got)
